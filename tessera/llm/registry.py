@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import pieces
+from tessera.llm import neardup, pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_minhash": neardup.op5_minhash,
     "op3_sentencepiece": pieces.op3_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
