@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, neardup, pieces
+from tessera.llm import langid, neardup, pieces, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": langid.op1_language,
+    "op9_quality": quality.op9_quality,
     "op5_minhash": neardup.op5_minhash,
     "op3_sentencepiece": pieces.op3_sentencepiece,
 }
