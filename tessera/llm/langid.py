@@ -211,10 +211,10 @@ def fit(docs: DataFrame) -> Model:
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"{len(langs)} languages; the table is sized for {MOST_LANGUAGES}")
     grams, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(_NAMES), len(langs)))
-    code = got.lang.map({x: i for i, x in enumerate(langs)}).to_numpy()
+    code = got.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
     for kind, to in ((0, grams), (1, scripts)):
         m = (got.kind == kind).to_numpy()
-        to[got["at"].to_numpy()[m], code[m]] = got.n.to_numpy()[m]
+        to[got["at"].to_numpy(np.int64)[m], code[m]] = got.n.to_numpy(np.int64)[m]
     smooth = 0.05
     logs = np.log((grams + smooth) / (grams.sum(axis=0) + smooth * BUCKETS)) if langs else grams
     use = scripts >= SCRIPT_SHARE * scripts.sum(axis=0)
