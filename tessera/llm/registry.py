@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessera.llm import decontaminate, langid, neardup, pieces, quality
+from tessera.llm import decontaminate, langid, licences, neardup, pieces, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_language": langid.op1_language,
     "op9_quality": quality.op9_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op10_licences": licences.op10_licences,
     "op5_minhash": neardup.op5_minhash,
     "op3_sentencepiece": pieces.op3_sentencepiece,
 }
