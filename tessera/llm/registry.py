@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessera.llm import decontaminate, langid, licences, neardup, pieces, quality
+from tessera.llm import decontaminate, langid, licences, neardup, pieces, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": quality.op9_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op10_licences": licences.op10_licences,
+    "op4_sharding": sharding.op4_sharding,
     "op5_minhash": neardup.op5_minhash,
     "op3_sentencepiece": pieces.op3_sentencepiece,
 }
