@@ -74,7 +74,7 @@ class Pieces:
                     by_end[b + 1].append((b, np.arange(m), words[:, b].astype(np.int64)))
                 continue
             # The length goes in front of the polynomial: len * P**size.
-            h = scan.mix(run + U(size) * U(pow(int(_P), size, 1 << 64)))
+            h = scan.mix(run + U(size * pow(int(_P), size, 1 << 64) % (1 << 64)))
             r, b = np.nonzero(self.maybe[(h >> U(64 - _BITS)).astype(np.int64)])
             if not len(r):
                 continue
@@ -113,10 +113,10 @@ class Pieces:
                 parts.append((r, a[r, b] + logp[i]))
         return a
 
-    def expected(self, words: np.ndarray, logp: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def expected(self, words: np.ndarray, logp: np.ndarray, weight: np.ndarray, edges=None) -> np.ndarray:
         """Expected uses of each piece over all segmentations, times the words' weights."""
         m, n = words.shape
-        edges = self.edges(words)
+        edges = edges or self.edges(words)
         a = self.forward(words, logp, edges)
         z = np.full((m, n + 1), -np.inf)
         z[:, n] = 0

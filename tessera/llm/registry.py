@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessera.llm import audio, chat, decontaminate, langid, licences, neardup, pieces, quality, sharding
+from tessera.llm import audio, chat, decontaminate, langid, licences, lm, neardup, pieces, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": sharding.op4_sharding,
     "op2_chat": chat.op2_chat,
     "op8_audio": audio.op8_audio,
+    "op7_lm": lm.op7_lm,
     "op5_minhash": neardup.op5_minhash,
     "op3_sentencepiece": pieces.op3_sentencepiece,
 }
