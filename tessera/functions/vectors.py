@@ -41,6 +41,5 @@ def attention_bias(mask: Column) -> Column:
 
 def mean_pool(tokens: Column, mask: Column, dim: int) -> Column:
     """Mean of the token vectors whose mask is 1; the mask's sum counts as 1e-9 at least."""
-    pairs = F.arrays_zip(tokens.alias("v"), mask.alias("m"))
     total = F.greatest(_sum(F.transform(mask, lambda m: m.cast("double"))), F.lit(1e-9))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _sum(F.transform(pairs, lambda p: F.get(p[0], i).cast("double") * p[1])) / total)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _sum(F.zip_with(tokens, mask, lambda v, m: F.get(v, i).cast("double") * m)) / total)
