@@ -114,6 +114,12 @@ def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     return every.groupBy("model", "text_key").agg(F.max_by(F.struct("vector", "ts_s", "seq"), F.struct("ts_s", "seq")).alias("w")).select("model", "text_key", "w.vector", "w.ts_s", "w.seq")
 
 
+def zip_vectors(texts: Column, vectors_: Column) -> Column:
+    """Texts and vectors by position, as long as the shorter."""
+    n = F.least(F.size(texts), F.size(vectors_))
+    return F.slice(F.arrays_zip(texts.alias("text"), vectors_.alias("vector")), F.lit(1), n)
+
+
 def sweep(rows: DataFrame, as_of: int, ttl_s: int, ts: str = "ts_s") -> DataFrame:
     """The rows that a collection at ``as_of`` keeps; search shows expired rows until one runs."""
     return rows.where(fresh(F.col(ts), as_of, ttl_s))

@@ -94,6 +94,17 @@ def special_ids(types: Column) -> Column:
     return F.filter(F.transform(types, lambda t, i: F.when(t.between(2, 5), i)), lambda x: x.isNotNull())
 
 
+def token_text(tokens: Column, token_id: Column) -> Column:
+    """The token of an id in a vocabulary's array; null beyond it."""
+    return F.get(tokens, token_id)
+
+
+def merge_pair(merge: Column) -> Column:
+    """A merge rule "a b" as its two sides; the first space parts them."""
+    parts = F.split(merge, " ", 2)
+    return F.struct(F.get(parts, F.lit(0)).alias("left"), F.get(parts, F.lit(1)).alias("right"))
+
+
 def pre_split(text: Column, kind: str) -> Column:
     """The pieces of a text that merges stay within."""
     return F.regexp_extract_all(text, F.lit("(?U)" + PRE_SPLIT.format(digits=DIGITS[kind])), F.lit(0))

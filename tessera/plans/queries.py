@@ -13,7 +13,8 @@ from tessera.functions import chunking, firewall, vectors
 from tessera.operators import admission, catalog, embed, history, memory, messages, models, schedule
 from tessera.plans import fixtures as fx
 from tessera.plans.registry import query
-from tessera.runtime import table
+from tessera.sources import files
+from tessera.runtime import Scratch, table
 
 AS_OF = 1_000_000
 AGE = "(vec_id % 80) * 3600"
@@ -488,6 +489,57 @@ def model_names(spark, d):
     return _names(spark).select("id", folder.alias("folder"), models.display_name(folder).alias("shown"))
 
 
+@query("SELECT doc_id, w[(n_chars % 40 + 1)::INTEGER] AS token FROM (SELECT doc_id, n_chars, string_split(text, ' ') AS w FROM documents)")
+def token_lookup(spark, d):
+    """A token by id; null beyond the vocabulary."""
+    return table(spark, d, "documents").select("doc_id", models.token_text(F.split("text", " "), (F.col("n_chars") % 40).cast("int")).alias("token"))
+
+
+@query("SELECT doc_id, split_part(text, ' ', 1) AS \"left\", CASE WHEN contains(text, ' ') THEN substr(text, strpos(text, ' ') + 1) END AS \"right\" FROM documents")
+def merge_pairs(spark, d):
+    return table(spark, d, "documents").select("doc_id", models.merge_pair(F.col("text")).alias("m")).select("doc_id", "m.left", "m.right")
+
+
+@query("SELECT vec_id, coalesce(CASE WHEN vec_id % 3 = 0 THEN 'local' END, CASE WHEN vec_id % 2 = 0 THEN 'family' END, 'embedded') AS path FROM embeddings")
+def tokenizer_path(spark, d):
+    i = F.col("vec_id")
+    return table(spark, d, "embeddings").select("vec_id", models.tokenizer_path(F.when(i % 3 == 0, "local"), F.when(i % 2 == 0, "family"), F.lit("embedded")).alias("path"))
+
+
+@query("SELECT vec_id, least(vec_id % 5, label)::INTEGER AS n FROM embeddings")
+def zip_truncate(spark, d):
+    """As many pairs as the shorter of two lists."""
+    texts = F.slice(F.array_repeat(F.lit("t"), 5), F.lit(1), (F.col("vec_id") % 5).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", F.size(memory.zip_vectors(texts, F.slice("embedding", F.lit(1), F.col("label")))).alias("n"))
+
+
+@query(f"WITH {EVENTS_SQL}, u AS (SELECT pipe, seq FROM e UNION ALL SELECT 'p_new', seq FROM e WHERE pipe = 'click' UNION ALL SELECT pipe, seq + 1000000 FROM e WHERE pipe = 'click'), r AS (SELECT *, row_number() OVER (PARTITION BY pipe ORDER BY seq DESC) AS n FROM u) SELECT pipe, seq FROM r WHERE n <= {CAP}")
+def append_ring(spark, d):
+    """Chunks added to old and new pipes, each cut to its newest."""
+    e = _events(spark, d).select("pipe", "seq")
+    click = e.where("pipe = 'click'")
+    new = click.withColumn("pipe", F.lit("p_new")).unionByName(click.withColumn("seq", F.col("seq") + 1_000_000))
+    return memory.append(e, new, CAP)
+
+
+@query(f"""WITH {CHUNKS_SQL}, k AS (SELECT * FROM c WHERE greatest({AS_OF} - 36000 - ts_s, 0) < 100000)
+SELECT text, round({DOT} * {DECAY}, 6) AS score, source_app, ts_s AS timestamp FROM k, q WHERE pipe = 'p3' ORDER BY {DOT} * {DECAY} DESC, seq LIMIT 5""")
+def search_after_sweep(spark, d):
+    """Search shows what the last sweep, ten hours ago, has left, even if it has expired since."""
+    kept = memory.sweep(_chunks(spark, d), AS_OF - 36_000, 100_000)
+    return _shown(memory.search(kept, _query_vector(spark, d), "p3", as_of=AS_OF))
+
+
+@query("SELECT conv_id::VARCHAR AS app_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos, role, text AS content FROM conversations")
+def page_out_in(spark, d):
+    """Histories written as pages and read back."""
+    folder = Scratch(spark, "pages").root
+    h = history.fold(table(spark, d, "conversations").withColumn("app_id", F.col("conv_id").cast("string")), content="text")
+    files.page_out(h, folder)
+    back = files.page_in(spark, h.select("app_id"), folder)
+    return back.select("app_id", F.posexplode("history").alias("pos", "t")).select("app_id", "pos", "t.role", "t.content")
+
+
 @query(None)
 def pre_split(spark, d):
     """Pieces of every document that merges stay within; DuckDB's regex has no look-ahead."""
