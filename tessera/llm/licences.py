@@ -202,4 +202,4 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in every document."""
-    return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("blocks")

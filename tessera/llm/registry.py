@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessera.llm import audio, chat, decontaminate, langid, licences, lm, neardup, pieces, quality, sharding
+from tessera.llm import audio, chat, decontaminate, langid, licences, lm, neardup, oracles, pieces, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -22,6 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": neardup.op5_minhash,
     "op3_sentencepiece": pieces.op3_sentencepiece,
 }
-ORACLES: dict[str, str] = {
-    "op2_chat": chat.ORACLE,
-}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)

@@ -33,12 +33,13 @@ def test_viterbi_is_the_best_path():
 def test_spans_scripts_and_defined_results(spark):
     train = [("the cat and the dog with this thing " * 3, "en"), ("der hund und die katze nicht ein " * 3, "de"), ("это и что не на как " * 3, "ru")] * 4
     model = langid.fit(spark.createDataFrame(train, "text string, lang string").selectExpr("lang", "text", "1 as spans"))
-    rows = [(1, "the dog with the cat and the thing. der hund und die katze nicht und der hund", "x"), (2, None, "x"), (3, "", "x"), (4, " 12 !!", "x"), (5, "что это", "x"), (6, "日本", "x"), (1, "THE " * 5000, "x")]
+    rows = [(1, "the dog with the cat and the thing. der hund und die katze nicht und der hund", "x"), (2, None, "x"), (3, "", "x"), (4, " 12 !!", "x"), (5, "что это", "x"), (6, "日本", "x"), (1, "THE " * 5000, "x"), (7, "\u0301 \u0301\u0302", "x"), (8, "\u0301the cat", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = langid.identify(df, model).collect()
     assert [r.lang_pred for r in got[1:5]] == ["und", "und", "und", "ru"] and got[6].lang_pred == "en"
     assert [s.lang for s in got[0].spans] == ["en", "de"] and got[0].spans[0].start == 0
     assert rows[0][1][got[0].spans[1].start :].startswith("der") and 0 < got[0].score < 1
+    assert got[7].lang_pred == "und" and got[8].lang_pred == "en"
     assert got[5].score == 1 and got[1].score == 0 and got[1].spans == []
     none = langid.fit(df.select("lang", "text").limit(0))
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
