@@ -77,6 +77,13 @@ def _letters() -> np.ndarray:
     return _tables[0]
 
 
+def _is_letter() -> np.ndarray:
+    if len(_tables) < 2:
+        _letters()
+        _tables.append(np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1))
+    return _tables[1]
+
+
 @dataclass
 class Words:
     """The words of a run of texts."""
@@ -90,11 +97,26 @@ class Words:
     end: np.ndarray
 
 
+def _without_stray_marks(cp: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """``kind`` with 0 for marks that no letter precedes in their run."""
+    letter = _is_letter()[cp] & (kind > 0)
+    inside = kind > 0
+    first = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    stray = first[~letter[first]]
+    if len(stray):
+        kind = kind.copy()
+        for a in stray.tolist():
+            while kind[a] and not letter[a]:
+                kind[a] = 0
+                a += 1
+    return kind
+
+
 def words_of(texts: list[str]) -> Words:
-    """Maximal runs of letters and marks, lower-cased; texts keep apart."""
+    """Maximal runs of letters and marks that begin with a letter, lower-cased; texts keep apart."""
     low = [t.lower() if len(t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in texts]
     cp = np.frombuffer("\0".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = _letters()[cp]
+    kind = _without_stray_marks(cp, _letters()[cp])
     inside = kind > 0
     first = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
     end = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
@@ -178,10 +200,15 @@ def viterbi(word: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` rows of each non-null lang, by a hash of doc_id."""
+    """About ``rows`` rows of each non-null lang, by a hash of doc_id; texts are not shuffled."""
     docs = docs.where("lang is not null and text is not null")
-    share = docs.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*")).alias("share"))
-    return docs.join(share, "lang").where((F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 20)) / float(1 << 20)) < F.col("share")).drop("share")
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; the table is sized for those")
+    if not counts:
+        return docs
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, rows / r.n))))
+    return docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 20)) / float(1 << 20) < F.element_at(share, F.col("lang")))
 
 
 def fit(docs: DataFrame) -> Model:
