@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors
 from tessera.functions.chunking import OVERLAP, SIZE, effective_overlap, explode_chunks, sliding_windows
+from tessera.operators.ordered import with_running
 
 PIPE_CAP = 10_000
 TOP_K = 5
 #: Queries that are broadcast to the chunks; more are joined by blocks.
 QUERY_BLOCK = 4096
+#: Request ids that are numbered in one task.
+REQUEST_SPAN = 100_000
 
 
 def in_pipe(chunks: DataFrame, pipe: str, source: str | None = None) -> DataFrame:
@@ -90,8 +93,8 @@ def fresh(ts: Column, as_of: int, ttl_s: int) -> Column:
 def write_order(probed: DataFrame, begin: int = 0) -> DataFrame:
     """seq of new chunks: of each request, in order of request, first the misses and then the hits, by position."""
     size = probed.groupBy("request_id").agg(F.count("*").alias("n"))
-    earlier = Window.orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)
-    first = size.select("request_id", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    upto = with_running(size, F.floor(F.col("request_id") / REQUEST_SPAN), ["request_id"], {"upto": ("sum", F.col("n"))})
+    first = upto.select("request_id", (F.col("upto") - F.col("n")).alias("first"))
     order = Window.partitionBy("request_id").orderBy("is_hit", "pos")
     out = probed.withColumn("rn", F.row_number().over(order)).join(first, "request_id")
     return out.withColumn("seq", F.col("first") + F.col("rn") + (begin - 1)).drop("first", "rn")
