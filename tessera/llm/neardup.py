@@ -8,9 +8,10 @@ coordinates put documents into buckets; pairs from buckets are confirmed on the
 full shingle sets.
 
 Documents with equal sets form a class, and only classes are compared. In each
-bucket every class is compared with a pivot; after that only pairs that are not
-yet in one component are left, and those are all compared, so a group of
-thousands of near copies costs about as many comparisons as it has members.
+bucket every class is compared with a pivot. Buckets that then still hold several
+components are gathered to families, and the classes of a family are compared
+block against block: a task's group holds two blocks of bounded size, and gives
+only links that join components, so no table of candidate pairs is made.
 
 Defined results: null, empty and blank texts have no shingles and are linked
 with nothing; rows that share a doc_id count as one document; rows with a null
@@ -36,6 +37,8 @@ from tessera.runtime import Scratch, ship, table
 #: A pair at a similarity of exactly 0.8 shares no band with a probability of (1 - 0.8**6)**56, about 4e-8.
 BANDS, ROWS = 56, 6
 UNIVERSE = 1 << 20
+#: Classes and shingles in a block of a family, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
 #: Pairs beyond the pivots' are confirmed if this share of coordinates agrees: at 0.8, five and a half
 #: standard deviations below what is expected, so one of 5e7 such pairs is missed, about as many as the bands miss.
 AGREE = 0.68
@@ -142,18 +145,61 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return extend(docs, [T.StructField("shingles", T.ArrayType(T.LongType(), False))], one, ["doc_id"])
 
 
-def _agree(pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs of which a sufficient share of signature bytes agrees."""
+def _families(members: DataFrame, sets: DataFrame, sketch: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(u, v): links between classes of different roots that share a bucket; at least one chain of links wherever there is a link.
 
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-            ok = pa.array((x == y).mean(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
+    ``members`` (key, rep, root) holds the buckets in which several roots are left.
+    Buckets that share members make a family. A family is cut by hash into blocks
+    of bounded size, and each pair of its blocks is one task's group: there all
+    pairs of different roots are compared, first by coordinates, then on full
+    sets, except those that links found there already join.
+    """
+    low = members.groupBy("key").agg(F.min("rep").alias("v"))
+    family = components(members.join(low, "key").select(F.col("rep").alias("u"), "v"), scratch)
+    family = family.toDF("rep", "family")
+    one_each = scratch.write(members.select("rep", "root").distinct().join(family, "rep"), "family")
+    rows = one_each.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep").join(sketch, "rep")
+    size = rows.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("shingles").cast("long")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = rows.join(scratch.write(size, "blocks"), "family")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "low", "shingles")
+
+    def run(t: pa.Table) -> pa.Table:
+        rep, root, own = (t[c].to_numpy() for c in ("rep", "root", "own"))
+        low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        column = t["shingles"].combine_chunks()
+        flat, off = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets.to_numpy()[0]
+        sets_ = [np.sort(flat[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)]
+        n = np.diff(off)
+        of = {r: r for r in root.tolist()}
+
+        def find(x):
+            while of[x] != x:
+                of[x] = of[of[x]]
+                x = of[x]
+            return x
+
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out = []
+        for x in left.tolist():
+            y = right if i != j else right[right > x]
+            y = y[(root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            y = y[(low[y] == low[x]).mean(axis=1) >= AGREE]
+            for z in y.tolist():
+                a, b = find(root[x]), find(root[z])
+                if a == b:
+                    continue
+                s, u = sets_[x], sets_[z]
+                at = np.searchsorted(u, s)
+                both = int((u[np.minimum(at, len(u) - 1)] == s).sum())
+                if 100 * both >= percent * (len(s) + len(u) - both):
+                    of[max(a, b)] = min(a, b)
+                    out.append((int(rep[x]), int(rep[z])))
+        return pa.table({"u": pa.array([p[0] for p in out], pa.int64()), "v": pa.array([p[1] for p in out], pa.int64())})
+
+    return rows.groupBy("family", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -173,38 +219,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     shared = spread.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("pivot < other").select("key", "pivot")
     members = scratch.write(spread.join(shared, "key").select("key", "pivot", "rep", "n"), "members")
 
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    roots: DataFrame | None = None
-    for step in ("pivots", "again", "rest"):
-        if step == "pivots":
-            pairs = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        else:
-            now = members.select("key", "rep", "n").join(roots, members.rep == roots.node, "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-            # Buckets that still hold more than one component; of each, its components.
-            parts = now.groupBy("key", "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("rep"))).alias("some"))
-            open_ = parts.groupBy("key").agg(F.count("*").alias("n_parts"), F.max(F.struct("size", "root")).alias("top"), F.min("some").alias("some")).where("n_parts > 1")
-            open_ = open_.select("key", F.col("top.root").alias("top"), F.col("some.rep").alias("pick"))
-            now = now.join(open_, "key")
-            if step == "again":
-                # A pivot of its own, by hash, for each bucket: the members of a group meet many pivots.
-                pairs = now.where("rep != pick").select(F.least("rep", "pick").alias("a"), F.greatest("rep", "pick").alias("b")).distinct()
-            else:
-                # All pairs of different components: one side outside the bucket's largest component.
-                now = scratch.write(now, "open")
-                x = now.where("root != top").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-                y = now.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "top")
-                two = x.join(y, "key").where("rx != ry and (ry = top or x < y)").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-                pairs = two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            if step == "rest":
-                low = sketch.select(F.col("doc_id").alias("rep"), "set_id", "low").join(classes, ["rep", "set_id"], "left_semi").select("rep", "low")
-                pairs = pairs.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b").select("a", "b", "low_a", "low_b")
-                pairs = _agree(pairs, AGREE)
-        pairs = scratch.write(pairs, "pairs")
-        found = scratch.write(_confirm(docs, pairs, classes, sketch, width, percent, scratch), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    pairs = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    links = scratch.write(_confirm(docs, scratch.write(pairs, "pairs"), width, percent, scratch), "links")
+    roots = scratch.write(components(links, scratch), "roots")
+    # Buckets that still hold more than one component.
+    now = members.select("key", "rep").join(roots, members.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    open_ = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    now = scratch.write(now.join(open_, "key", "left_semi"), "open")
+    need = now.select(F.col("rep").alias("doc_id")).distinct()
+    sets = scratch.write(_sets(docs.join(need, "doc_id", "left_semi"), width), "sets")
+    low = sketch.select(F.col("doc_id").alias("rep"), "set_id", "low").join(classes, ["rep", "set_id"], "left_semi").select("rep", "low")
+    more = scratch.write(_families(now, sets, low, percent, scratch), "links")
+    if more.limit(1).count():
+        links = links.unionByName(more)
         roots = scratch.write(components(links, scratch), "roots")
 
     named = classes.join(roots, classes.rep == roots.node, "left").select("set_id", F.coalesce("root", "rep").alias("root"))
@@ -221,7 +248,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     return doc.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, sketch: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """(u, v) of the pairs (a, b) of class representatives that are linked, on their full sets."""
     need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = _sets(docs.join(need, "doc_id", "left_semi"), width)
