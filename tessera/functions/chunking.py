@@ -24,30 +24,30 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda w: w != "")
 
 
-def sliding_windows(text: Column, size: Column, overlap: Column) -> Column:
-    """Windows of ``size`` words that share ``overlap``, ending with the first that reaches the last word; none for a blank text.
+def windows_of(w: Column, size: Column, overlap: Column) -> Column:
+    """Windows of ``size`` words that share ``overlap``, ending with the first that reaches the last word; none without words.
 
-    A size of 0 gives an empty chunk for each word, as a step is one word at least.
+    ``w`` should be a column made in an earlier projection: each window reads it,
+    and an expression would be evaluated again for each. A size of 0 gives an
+    empty chunk for each word, as a step is one word at least.
     """
-    w = words(text)
     n, step = F.size(w), F.greatest(F.lit(1), size - overlap)
     last = F.when(size == 0, n - 1).otherwise(F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int") * step)
     starts = F.sequence(F.lit(0), last, step)
     cut = F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, size), " "))
-    return F.when(text.isNull() | (n == 0), F.array().cast("array<string>")).otherwise(cut)
+    return F.when(w.isNull() | (n <= 0), F.array().cast("array<string>")).otherwise(cut)
 
 
-def chunks(text: Column, size: Column, overlap: Column, strategy: str = SLIDING) -> Column:
-    """Chunks by strategy: EXACT keeps the text as it is, even blank; any other cuts sliding windows."""
+def explode_chunks(docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, strategy: str = SLIDING) -> DataFrame:
+    """``docs`` without the text, a row for each chunk: pos from 0, and chunk.
+
+    EXACT keeps a text as it is, even blank; any other strategy cuts sliding windows.
+    """
+    rest = [c for c in docs.columns if c != text]
     if strategy == EXACT:
-        return F.array(text)
+        return docs.select(*rest, F.posexplode(F.array(text)).alias("pos", "chunk"))
     if strategy != SLIDING:
         logging.getLogger(__name__).warning("strategy %r cuts sliding windows", strategy)
-    return sliding_windows(text, size, overlap)
-
-
-def explode_chunks(docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, strategy: str = SLIDING) -> DataFrame:
-    """``docs`` without the text, a row for each chunk: pos from 0, and chunk."""
     over = overlap if overlap < size else size // 4
-    rest = [c for c in docs.columns if c != text]
-    return docs.select(*rest, F.posexplode(chunks(F.col(text), F.lit(size), F.lit(over), strategy)).alias("pos", "chunk"))
+    split = docs.select(*rest, words(F.col(text)).alias("_words"))
+    return split.select(*rest, F.posexplode(windows_of(F.col("_words"), F.lit(size), F.lit(over))).alias("pos", "chunk"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors
-from tessera.functions.chunking import OVERLAP, SIZE, effective_overlap, explode_chunks, sliding_windows
+from tessera.functions.chunking import OVERLAP, SIZE, effective_overlap, explode_chunks, windows_of, words
 from tessera.operators.ordered import with_running
 
 PIPE_CAP = 10_000
@@ -75,8 +75,9 @@ def share_chunks(requests: DataFrame) -> DataFrame:
     size = F.coalesce("chunk_size", F.lit(SIZE))
     over = effective_overlap(size, F.coalesce("chunk_overlap", F.lit(OVERLAP)))
     exact = F.coalesce("chunk_strategy", F.lit("")) == "exact_match"
-    cut = F.when(exact, F.array("knowledge_text")).otherwise(sliding_windows(F.col("knowledge_text"), size, over))
-    return requests.select("request_id", "source_app", F.col("target_pipe").alias("pipe"), F.posexplode(cut).alias("pos", "text"))
+    split = requests.withColumn("_words", words(F.col("knowledge_text")))
+    cut = F.when(exact, F.array("knowledge_text")).otherwise(windows_of(F.col("_words"), size, over))
+    return split.select("request_id", "source_app", F.col("target_pipe").alias("pipe"), F.posexplode(cut).alias("pos", "text"))
 
 
 def probe(chunks: DataFrame, cache: DataFrame, model: str, as_of: int, ttl_s: int) -> DataFrame:
