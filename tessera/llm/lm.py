@@ -11,9 +11,10 @@ probabilities of its words and end.
 
 No table of words is ever in one place. Texts are packed into blocks; each block
 gives its distinct words with counts; these are summed by word over the corpus,
-scored, and joined back to the blocks that need them. A word has at most one row
-for each block and language, so the commonest word is no hot key, and a text
-meets the words of its own block only.
+which also lists the blocks that have the word; the words are scored and sent
+back to their blocks. A word has at most one row for each block and language,
+so the commonest word is no hot key, and a text meets the words of its own block
+only.
 
 Defined results: null and empty texts have the end only; texts with a null
 doc_id are training texts; repeated rows are each scored; null languages are one
@@ -45,9 +46,10 @@ CODEC = "zstd"
 BLOCK_SCHEMA = "block long, ids array<long>, held array<boolean>, kind array<int>, size array<long>, n_bytes long, body binary"
 
 
-def pack(docs: DataFrame, langs: list) -> DataFrame:
+def pack(docs: DataFrame, langs: list, kinds: int) -> DataFrame:
     """Blocks of whole texts: doc_ids, whether held out, the language's number, sizes, and the compressed bytes."""
     number = {x: i for i, x in enumerate(langs)}
+    last = max(kinds - 1, 0)
 
     def run(batches):
         from pyspark import TaskContext
@@ -75,7 +77,7 @@ def pack(docs: DataFrame, langs: list) -> DataFrame:
                 if rows and size + len(raw) > BLOCK:
                     yield close()
                     n, rows, size = n + 1, [], 0
-                rows.append((i, h, number.get(lang, len(langs)), raw))
+                rows.append((i, h, number.get(lang, last), raw))
                 size += len(raw)
         if rows:
             yield close()
@@ -110,7 +112,11 @@ class Block:
 
 
 def word_counts(blocks: DataFrame, kinds: int) -> DataFrame:
-    """(block, hash, word, kind, n): each block's distinct words, with their training counts by language; kind -1 and 0 for a word only seen outside training."""
+    """(block, at, word, kind, n): each block's distinct words in order of hash, with their training counts by language.
+
+    A word with several languages has several rows, of which the first only has
+    ``at``; one only seen outside training has kind -1 and count 0.
+    """
 
     def run(batches):
         for b in batches:
@@ -126,16 +132,19 @@ def word_counts(blocks: DataFrame, kinds: int) -> DataFrame:
                 none = np.flatnonzero(n.sum(axis=1) == 0)
                 w, kind = np.nonzero(n)
                 who = np.concatenate([w, none])
+                lead = np.ones(len(who), bool)
+                lead[1 : len(w)] = w[1:] != w[:-1]
+                each = np.concatenate([kind, np.full(len(none), -1)])
+                many = np.concatenate([n[w, kind], np.zeros(len(none), np.int64)])
                 for i in range(0, len(who), 100_000):
-                    part = who[i : i + 100_000]
-                    each = np.concatenate([kind, np.full(len(none), -1)])[i : i + 100_000]
-                    many = np.concatenate([n[w, kind], np.zeros(len(none), np.int64)])[i : i + 100_000]
+                    s = slice(i, i + 100_000)
+                    part = who[s]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), row["block"]), pa.int64()), pa.array(names[part]), pa.array(words[part].tolist(), pa.binary()), pa.array(each, pa.int32()), pa.array(many, pa.int64())],
-                        names=["block", "hash", "word", "kind", "n"],
+                        [pa.array(np.full(len(part), row["block"]), pa.int64()), pa.array(part, pa.int32(), mask=~lead[s]), pa.array(words[part].tolist(), pa.binary()), pa.array(each[s], pa.int32()), pa.array(many[s], pa.int64())],
+                        names=["block", "at", "word", "kind", "n"],
                     )
 
-    return blocks.mapInArrow(run, "block long, hash long, word binary, kind int, n long")
+    return blocks.mapInArrow(run, "block long, at int, word binary, kind int, n long")
 
 
 class Model:
@@ -224,18 +233,21 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
     names = list(vocabulary.score)
     pieces = Pieces(names, [-vocabulary.score[t][0] for t in names])
 
-    per_lang = docs.where("not held_out").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(COMPONENTS).collect()
-    langs = [r.lang for r in per_lang]
-    kinds = len(langs) + 1  # the last is all other languages
-    blocks = scratch.write(pack(docs, langs), "blocks")
+    per_lang = docs.where("not held_out").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(COMPONENTS + 1).collect()
+    langs = [r.lang for r in per_lang[:COMPONENTS]]
+    kinds = max(1, len(per_lang))  # beyond COMPONENTS, the last is all other languages
+    blocks = scratch.write(pack(docs, langs, kinds), "blocks")
     seen = scratch.write(word_counts(blocks, kinds), "seen")
     sums = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(kinds)]
-    words = scratch.write(seen.groupBy("hash", "word").agg(*sums), "words")
+    # One shuffle: the places of a word, one for each block that has it, stay beside its counts.
+    places = F.collect_list(F.when(F.col("at").isNotNull(), F.struct("block", "at"))).alias("places")
+    words = scratch.write(seen.groupBy("word").agg(*sums, places), "words")
+    scratch.drop(seen)
     total = sum((F.col(f"c{k}") for k in range(kinds)), F.lit(0))
     stats = words.agg(*(f(F.col(f"c{k}")).alias(f"{n}{k}") for k in range(kinds) for n, f in (("n", F.sum), ("o", lambda c: F.count_if(c == 1)))), F.count_if(total > 0).alias("v")).first()
     n_words = np.array([stats[f"n{k}"] or 0 for k in range(kinds)], float)
     once = np.array([stats[f"o{k}"] or 0 for k in range(kinds)], float)
-    ends = docs.where("not held_out").select(F.coalesce(*(F.when(F.col("lang").eqNullSafe(F.lit(x)), k) for k, x in enumerate(langs)), F.lit(kinds - 1)).alias("k")).groupBy("k").count().collect()
+    ends = docs.where("not held_out").select(F.coalesce(*(F.when(F.col("lang").eqNullSafe(F.lit(x)), k) for k, x in enumerate(langs)), F.lit(max(kinds - 1, 0))).alias("k")).groupBy("k").count().collect()
     n_docs = np.zeros(kinds)
     for r in ends:
         n_docs[r["k"]] = r["count"]
@@ -254,20 +266,19 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
             ws, counts = _arrays(b, kinds)
             lp = shared.value.words(ws, counts)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(counts.sum(axis=1).astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, lp.size + 1, kinds), pa.int32()), pa.array(lp.astype(np.float32).reshape(-1)))],
-                names=["hash", "c", "lp"],
+                [b.column(b.schema.get_field_index("places")), pa.array(counts.sum(axis=1).astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, lp.size + 1, kinds), pa.int32()), pa.array(lp.astype(np.float32).reshape(-1)))],
+                names=["places", "c", "lp"],
             )
 
-    scored = scratch.write(words.mapInArrow(run, "hash long, c long, lp array<float>"), "scored")
-    need = seen.select("block", "hash").distinct().join(scored, "hash").select("block", "hash", "c", "lp")
+    scored = words.mapInArrow(run, "places array<struct<block:long,at:int>>, c long, lp array<float>")
+    need = scored.select(F.explode("places").alias("p"), "c", "lp").select("p.block", "p.at", "c", "lp")
     floor = 0.5 * (all_types + 1)
     end_count = float(n_docs.sum())
 
     def texts(blocks_: pa.Table, words_: pa.Table) -> pa.Table:
         rows = []
         m = shared.value
-        order = np.argsort(h := words_["hash"].to_numpy())
-        h = h[order]
+        order = np.argsort(words_["at"].to_numpy())
         c = words_["c"].to_numpy()[order]
         lp = words_["lp"].combine_chunks().flatten().to_numpy().reshape(-1, kinds)[order].astype(float)
         base = np.log10((c + 0.5) / (all_tokens + floor))
@@ -275,7 +286,7 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
         for row in blocks_.to_pylist():
             k = Block(row)
             n = len(k.ids)
-            at = np.searchsorted(h, k.hash)
+            at = np.unique(k.hash, return_inverse=True)[1]
             known = np.bincount(k.doc, weights=c[at] > 0, minlength=n).astype(np.int64) + int(end_count > 0)
             total_base = np.bincount(k.doc, weights=base[at], minlength=n) + end
             by_kind = np.stack([np.bincount(k.doc, weights=lp[at, j], minlength=n) for j in range(kinds)], axis=1) + m.end + m.prior
