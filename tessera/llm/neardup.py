@@ -39,6 +39,8 @@ BANDS, ROWS = 56, 6
 UNIVERSE = 1 << 20
 #: Classes and shingles in a block of a family, about.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
+#: Ids of candidates that are broadcast to the texts, 8 bytes each.
+SENT_IDS = 2_000_000
 #: Pairs beyond the pivots' are confirmed if this share of coordinates agrees: at 0.8, five and a half
 #: standard deviations below what is expected, so one of 5e7 such pairs is missed, about as many as the bands miss.
 AGREE = 0.68
@@ -202,6 +204,11 @@ def _families(members: DataFrame, sets: DataFrame, sketch: DataFrame, percent: i
     return rows.groupBy("family", "i", "j").applyInArrow(run, "u long, v long")
 
 
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``; texts are shuffled only where the ids are too many to broadcast."""
+    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (columns doc_id and text).
 
@@ -226,8 +233,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     now = members.select("key", "rep").join(roots, members.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     open_ = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
     now = scratch.write(now.join(open_, "key", "left_semi"), "open")
-    need = now.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.write(_sets(docs.join(need, "doc_id", "left_semi"), width), "sets")
+    need = scratch.write(now.select(F.col("rep").alias("doc_id")).distinct(), "need")
+    sets = scratch.write(_sets(_chosen(docs, need), width), "sets")
     low = sketch.select(F.col("doc_id").alias("rep"), "set_id", "low").join(classes, ["rep", "set_id"], "left_semi").select("rep", "low")
     more = scratch.write(_families(now, sets, low, percent, scratch), "links")
     if more.limit(1).count():
@@ -251,9 +258,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
 def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """(u, v) of the pairs (a, b) of class representatives that are linked, on their full sets."""
     need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _sets(docs.join(need, "doc_id", "left_semi"), width)
-    # A doc_id of several rows: the row whose set the class was made from; sets are equal within a doc_id otherwise.
-    sets = scratch.write(sets, "sets")
+    # A doc_id of several rows has several sets; a link of any is a link of the document.
+    sets = scratch.write(_sets(_chosen(docs, scratch.write(need, "need")), width), "sets")
     size = F.size("shingles")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), size.alias("na"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), size.alias("nb"))
