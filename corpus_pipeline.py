@@ -51,16 +51,35 @@ def clean_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8), once."""
-    found = neardup.near_duplicates(docs, Scratch(spark, "pipeline-dedup"), width=5)
-    drop = found.where("not kept").select("doc_id").distinct()
-    once = docs.join(drop, "doc_id", "left_anti")
-    return once.dropDuplicates(["doc_id"]).select(*docs.columns) if _repeated(found) else once.select(*docs.columns)
-
-
-def _repeated(found: DataFrame) -> bool:
-    """Whether a doc_id that stays has more than one row."""
-    return bool(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    """Keeps the row of smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8), once.
+
+    Rows are told apart by a key of their own where doc_id does not name them:
+    rows that share a doc_id, or have none, are duplicates by their texts only,
+    and null ids come after all others. Texts without words are duplicates of
+    nothing but texts without words under the same doc_id that is not null.
+    """
+    scratch, columns = Scratch(spark, "pipeline-dedup"), docs.columns
+    if _named(docs):
+        found = neardup.near_duplicates(docs, scratch, width=5)
+        return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*columns)
+    row = _fresh(columns, "row")
+    # Written once, so that the keys stay the same in all that reads them.
+    docs = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(docs.select(F.col(row).alias("doc_id"), "text"), scratch, width=5)
+    ids = docs.select(F.col(row).alias("key"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    blank = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
+    group = found.join(ids, found.doc_id == ids.key).select(
+        F.when(~blank, F.col("component_id")).alias("component"),
+        F.when(blank, F.col("id")).alias("blank"),
+        F.struct(F.col("id").isNull().alias("none"), "id", "hash", "key").alias("first"),
+    )
+    keep = group.groupBy("component", "blank").agg(F.min("first").alias("first")).select(F.col("first.key").alias(row))
+    return docs.join(keep, row, "left_semi").select(*columns)
+
+
+def _named(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    return not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,21 @@ def test_defined_results(spark, sf):
     df = spark.createDataFrame(rows, schema)
     assert sorted(str(r.doc_id) for r in cp.one_of_each(spark, df, sf).collect()) == ["1", "2", "3", "None"]
     assert sorted(str(r.doc_id) for r in cp.language(spark, df, sf).collect()) == ["3", "3", "None"]
+
+
+def test_rows_without_an_id_of_their_own(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = {x: " ".join(f"{x}{i}" for i in range(40)) for x in "abcdef"}
+    near = texts["a"] + " more"
+    rows = [(3, "a"), (3, "b"), (3, "b"), (None, "c"), (None, "d"), (None, "d"), (None, "b"), (None, "near"), (7, "e"), (5, "e"), (9, ""), (9, ""), (9, None), (8, ""), (None, ""), (None, ""), (None, "f")]
+    make = lambda rows: spark.createDataFrame([(d, near if t == "near" else texts.get(t, t), "en", None, 1) for d, t in rows], schema)
+    want = [(3, "a"), (3, "b"), (None, "c"), (None, "d"), (5, "e"), (9, None), (8, ""), (None, ""), (None, ""), (None, "f")]
+    name = {v: k for k, v in texts.items()} | {near: "near"}
+
+    def kept(rows):
+        got = cp.one_of_each(spark, make(rows).repartition(3), sf).collect()
+        return sorted(((r.doc_id, name.get(r.text, r.text) or "") for r in got), key=str)
+
+    assert kept(rows) == sorted(((d, t or "") for d, t in want), key=str)
+    # No doc_id repeats, and yet copies without one go.
+    assert kept([(1, "a"), (None, "b"), (None, "b"), (None, "near")]) == sorted([(1, "a"), (None, "b")], key=str)
