@@ -1,8 +1,10 @@
 """Benchmark passages in documents, by the q-gram lemma and banded alignment.
 
 Texts are compared lower-cased, with every run of other characters than letters
-and digits as one space. A benchmark item is searched as overlapping windows, so
-that a part of it is found too. A window of m characters within e edits shares
+and digits as one space. A part of a benchmark item counts as a leak from WORDS
+whole words or LONGEST bytes on, so an item is searched as windows of that size
+from each of its words on, and as wider ones that forgive more edits in one
+place. A window of m characters within e edits shares
 at least m - q + 1 - q * e of its q-grams with the place, and all of them lie in
 a band of e + 1 diagonals. So shared q-grams are counted in overlapping diagonal
 bands, the regions that reach the bound are kept, and a banded alignment decides.
@@ -32,6 +34,10 @@ from tessera.runtime import ship, table
 
 Q = 10
 WINDOW, STEP = 128, 64
+#: The shortest excerpt that counts as a leak has so many whole words; of longer words, so many bytes.
+WORDS, LONGEST = 13, 96
+#: Bytes between excerpts that begin within a long word, as in text without spaces.
+STRIDE = 16
 #: Edits allowed, as a share of a window's characters.
 EDITS = 0.08
 MIN_ITEM = 32
@@ -69,42 +75,139 @@ def grams(b: np.ndarray) -> np.ndarray:
     return scan.mix(eight[:n] * U(0x9E3779B97F4A7C15) + two[8 : 8 + n] * U(0xD6E8FEB86659FD93))
 
 
+def _runs(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of n[0], n[1], ... places, one after another: the run of each place, and its number in the run."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _excerpts(t: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the shortest parts of an item that are searched; both rise."""
+    space = np.flatnonzero(np.frombuffer(t, np.uint8) == 0x20)
+    begins, ends = [0, *(space + 1).tolist()], [*space.tolist(), len(t)]
+    out = []
+    for i, (s, e) in enumerate(zip(begins, ends, strict=True)):
+        stop = ends[min(i + WORDS, len(ends)) - 1]
+        for a in range(s, e, STRIDE):  # only words beyond STRIDE bytes have several
+            out.append((a, min(stop, a + LONGEST)))
+            if out[-1][1] == len(t):
+                # The last one reaches back to its full length.
+                first = min(begins[max(len(begins) - WORDS, 0)], a)
+                out[-1] = (max(first, len(t) - LONGEST), len(t))
+                return out if len(out) < 2 or out[-2] < out[-1] else [x for x in out[:-1] if x[0] < out[-1][0]] + out[-1:]
+    return out
+
+
 @dataclass
 class Index:
-    """The windows of a part of the benchmark, and where each q-gram occurs in them."""
+    """The windows of a part of the benchmark, and where each q-gram occurs in its items."""
 
     items: list[tuple[int, bytes]]
 
     def __post_init__(self):
-        self.item, self.text, place, gram = [], [], [], []
-        for number, (_, t) in enumerate(self.items):
+        long = [(i, t) for i, (_, t) in enumerate(self.items) if len(t) >= Q]
+        self.bytes = np.frombuffer(b"".join(t for _, t in long), np.uint8)
+        self.base = np.concatenate([[0], np.cumsum([len(t) for _, t in long])]).astype(np.int64)
+        number, start, size, wide = [], [], [], []
+        for n, (_, t) in enumerate(long):
             m = len(t)
-            starts = [0] if m <= WINDOW + STEP // 2 else [*range(0, m - WINDOW, STEP), m - WINDOW]
-            size = m if len(starts) == 1 else WINDOW
-            for s in starts:
-                w = np.frombuffer(t[s : s + size], np.uint8)
-                with np.errstate(over="ignore"):
-                    g = grams(w)
-                gram.append(g)
-                place.append(np.stack([np.full(len(g), len(self.text)), np.arange(len(g))]))
-                self.item.append(number)
-                self.text.append(w)
-        self.size = np.array([len(w) for w in self.text], np.int64)
+            spans = [(a, z, False) for a, z in _excerpts(t)]
+            if m > WINDOW + STEP // 2:
+                spans += [(a, a + WINDOW, True) for a in [*range(0, m - WINDOW, STEP), m - WINDOW]]
+            elif spans != [(0, m, False)]:
+                spans.append((0, m, True))
+            number += [n] * len(spans)
+            start += [x[0] for x in spans]
+            size += [x[1] - x[0] for x in spans]
+            wide += [x[2] for x in spans]
+        self.number, self.start, self.size, self.wide = np.array(number, np.int64), np.array(start, np.int64), np.array(size, np.int64), np.array(wide, bool)
+        self.item = [long[n][0] for n in number]
         edits = (self.size * EDITS).astype(np.int64)
-        self.edits = np.minimum(edits, (self.size - Q) // Q)
+        self.edits = np.maximum(np.minimum(edits, (self.size - Q) // Q), 0)
         self.least = self.size - Q + 1 - Q * self.edits
-        g, p = np.concatenate(gram), np.concatenate(place, axis=1)
+        with np.errstate(over="ignore"):
+            each = [grams(np.frombuffer(t, np.uint8)) for _, t in long]
+        g = np.concatenate([np.zeros(0, U), *each])
+        place = np.stack([np.repeat(np.arange(len(long)), [len(x) for x in each]), np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in each)])]).astype(np.int64)
         order = np.argsort(g, kind="stable")
-        self.place = p[:, order]
+        self.place = place[:, order]
         self.gram, self.first, self.count = np.unique(g[order], return_index=True, return_counts=True)
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.gram >> U(64 - _BITS)).astype(np.int64)] = True
-        self.half = int(self.edits.max()) + 1
-        self.gap = int(self.size.max()) + 4 * self.half
+        # Short and wide windows are counted apart, each in bands as broad as their edits ask for.
+        self.kinds = []
+        for kind in (False, True):
+            w = np.flatnonzero(self.wide == kind)
+            if len(w):
+                lowest = np.full(len(long), 1 << 40)
+                np.minimum.at(lowest, self.number[w], self.least[w])
+                self.kinds.append((w, int(self.edits[w].max()) + 1, lowest))
+        longest = int(np.diff(self.base).max(initial=0))
+        self.span = longest + 1
+        self.gap = longest + 4 * max((half for _, half, _ in self.kinds), default=1)
+        # Items below Q bytes, by length: their texts in order, and the items of each.
+        self.short = []
+        tiny: dict[bytes, list[int]] = {}
+        for i, (_, t) in enumerate(self.items):
+            if 0 < len(t) < Q:
+                tiny.setdefault(t, []).append(i)
+        for n in sorted({len(t) for t in tiny}):
+            texts = sorted(t for t in tiny if len(t) == n)
+            code = self._code(np.array([list(t) for t in texts], np.uint8))
+            order = np.argsort(code, kind="stable")
+            self.short.append((n, code[order], np.array([list(texts[k]) for k in order], np.uint8), [tiny[texts[k]] for k in order]))
+
+    @property
+    def text(self) -> list[np.ndarray]:
+        return [self.bytes[a : a + n] for a, n in zip((self.base[self.number] + self.start).tolist(), self.size.tolist(), strict=True)]
+
+    @staticmethod
+    def _code(rows: np.ndarray) -> np.ndarray:
+        """A number for each row of fewer than Q bytes; up to 8 bytes, its own."""
+        out = np.zeros(len(rows), U)
+        with np.errstate(over="ignore"):
+            for j in range(rows.shape[1]):
+                out = (out << U(8) | out >> U(56)) ^ rows[:, j].astype(U)
+        return out
 
     def search(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) for each window found; start and end are bytes of the text."""
         b, at, to = normalise(buf, off)
+        return self._exact(b, at, to, off) + self._near(b, at, to, off)
+
+    def _exact(self, b, at, to, off):
+        """The items below Q bytes, between word borders."""
+        if not self.short or not len(b):
+            return []
+        edge = np.zeros(len(b) + 1, bool)  # where a word may begin, or end before
+        edge[to] = True
+        begin, end = edge.copy(), edge
+        begin[1:] |= b == 0x20
+        end[:-1] |= b == 0x20
+        begin = np.flatnonzero(begin[:-1] & (b != 0x20))
+        doc = np.searchsorted(to, begin, side="right") - 1
+        out = []
+        for n, code, texts, items in self.short:
+            ok = begin + n <= to[doc + 1]
+            pos, of = begin[ok], doc[ok]
+            ok = end[pos + n]
+            pos, of = pos[ok], of[ok]
+            rows = b[pos[:, None] + np.arange(n)]
+            h = self._code(rows)
+            # Nine bytes may share a number with others: all that do are compared.
+            lo, hi = np.searchsorted(code, h, side="left"), np.searchsorted(code, h, side="right")
+            who, nth = _runs(hi - lo)
+            which = lo[who] + nth
+            ok = (rows[who] == texts[which]).all(axis=1)
+            for i, k in zip(who[ok].tolist(), which[ok].tolist(), strict=True):
+                first, last = int(at[pos[i]] - off[of[i]]), int(at[pos[i] + n - 1] - off[of[i]]) + 1
+                out += [(int(of[i]), x, first, last, 0) for x in items[k]]
+        return out
+
+    def _near(self, b, at, to, off):
+        """The windows of all other items, within their edits."""
+        if not len(self.gram):
+            return []
         with np.errstate(over="ignore"):
             h = grams(b)
         pos = np.flatnonzero(self.maybe[(h >> U(64 - _BITS)).astype(np.int64)])
@@ -119,32 +222,62 @@ class Index:
         pos, row, doc = pos[ok], row[ok], doc[ok]
         if not len(pos):
             return []
-        n = self.count[row]
-        each = np.repeat(np.arange(len(pos)), n)
-        hit = self.first[row][each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-        window, inside = self.place[:, hit]
-        # Diagonals, with a gap between texts so that no band holds two.
+        each, nth = _runs(self.count[row])
+        number, inside = self.place[:, self.first[row][each] + nth]
+        # Diagonals of the item, with a gap between texts so that no band holds two.
         diagonal = pos[each] + doc[each] * self.gap - inside + self.gap
-        bins = int(diagonal.max()) // self.half + 2
-        key, one, n = np.unique(window * bins + diagonal // self.half, return_index=True, return_counts=True)
-        window, doc = window[one], doc[each[one]]
-        n[:-1] += np.where(key[1:] == key[:-1] + 1, n[1:], 0)
-        keep = np.flatnonzero(n >= self.least[window])
-        window, doc, low = window[keep], doc[keep], (key[keep] % bins) * self.half - self.gap
-        low = low - doc * self.gap  # the band's first diagonal, in places of b
+        of = doc[each]
+        out = []
+        for windows, half, lowest in self.kinds:
+            out += self._bands(b, to, windows, half, lowest, number, inside, diagonal, of, at, off)
+        return out
+
+    def _bands(self, b, to, windows, half, lowest, number, inside, diagonal, of, at, off):
+        """Counts shared q-grams in bands of 2 * half diagonals, each half over the next, and aligns the windows that reach their bound."""
+        bins = int(diagonal.max()) // half + 2
+        key = number * bins + diagonal // half
+        order = np.argsort(key, kind="stable")
+        bin_, cut, n = np.unique(key[order], return_index=True, return_counts=True)
+        # A band is a bin and the next, or begins one before where that one is empty.
+        follows = np.zeros(len(bin_), bool)
+        follows[:-1] = (bin_[1:] == bin_[:-1] + 1) & (bin_[1:] // bins == bin_[:-1] // bins)
+        both = n + np.where(follows, np.append(n[1:], 0), 0)
+        band = np.flatnonzero(both >= lowest[bin_ // bins])
+        if not len(band):
+            return []
+        # The hits of a bin and the next lie one after another.
+        who, nth = _runs(both[band])
+        hit = order[cut[band][who] + nth]
+        place = np.sort(who * self.span + inside[hit])
+        item, doc = bin_[band] // bins, of[order[cut[band]]]
+        # Windows of the item with a q-gram between the band's first and last.
+        ends = np.cumsum(both[band])
+        low, high = place[ends - both[band]] % self.span, place[ends - 1] % self.span
+        starts = self.number[windows] * self.span + self.start[windows]
+        stops = starts + self.size[windows] - Q
+        a = np.maximum(np.searchsorted(stops, item * self.span + low), np.searchsorted(starts, item * self.span))
+        z = np.searchsorted(starts, item * self.span + high, side="right")
+        who, nth = _runs(np.maximum(z - a, 0))
+        w = windows[a[who] + nth]
+        from_ = who * self.span + self.start[w]
+        count = np.searchsorted(place, from_ + self.size[w] - Q, side="right") - np.searchsorted(place, from_)
+        ok = count >= self.least[w]
+        who, w = who[ok], w[ok]
+        # The band's first diagonal, in places of b, at the window's start.
+        low = (bin_[band] % bins)[who] * half - self.gap - doc[who] * self.gap + self.start[w]
         out = []
-        for i in range(0, len(keep), 4096):
-            out += self._align(b, to, window[i : i + 4096], doc[i : i + 4096], low[i : i + 4096], at, off)
+        for i in range(0, len(w), 4096):
+            out += self._align(b, to, half, w[i : i + 4096], doc[who[i : i + 4096]], low[i : i + 4096], at, off)
         return out
 
-    def _align(self, b, to, window, doc, low, at, off):
+    def _align(self, b, to, half, window, doc, low, at, off):
         """Least edits of each window against its band, free to begin and end anywhere in it."""
         size, most = self.size[window], int(self.size[window].max())
-        width = 2 * self.half + 2 * self.half
-        begin = low - self.half
-        pattern = np.full((len(window), most), 254, np.uint8)
-        for i, w in enumerate(window):
-            pattern[i, : size[i]] = self.text[w]
+        width = 4 * half
+        begin = low - half
+        inner = np.arange(most)
+        pattern = self.bytes[np.minimum((self.base[self.number[window]] + self.start[window])[:, None] + inner, len(self.bytes) - 1)]
+        pattern = np.where(inner < size[:, None], pattern, 254)
         cols = begin[:, None] + np.arange(most + width)
         ok = (cols >= to[doc][:, None]) & (cols < to[doc + 1][:, None])
         region = np.where(ok, b[np.clip(cols, 0, len(b) - 1)], 255)

@@ -70,3 +70,21 @@ def test_planted(spark):
     assert dc.clean(docs, bench).columns == docs.columns
     assert dc.leaks(docs, bench.limit(0)).count() == 0 and dc.clean(docs, bench.limit(0)).count() == 64
     assert dc.leaks(docs.limit(0), bench).count() == 0
+
+
+def found(items, text):
+    buf = np.frombuffer(text, np.uint8)
+    return {i for _, i, *_ in dc.Index(items).search(buf, np.array([0, len(buf)]))}
+
+
+def test_any_excerpt_of_thirteen_words():
+    rnd = random.Random(6)
+    for n in (13, 14, 20, 38, 70):
+        item = norm(words(rnd, n)).split()
+        for a in range(n - 12):
+            text = norm(words(rnd, 9)) + b" " + b" ".join(item[a : a + 13]) + b" " + norm(words(rnd, 9))
+            assert found([(1, b" ".join(item))], text) == {0}, (n, a)
+        assert found([(1, b" ".join(item))], norm(words(rnd, 60))) == set()
+    item = "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(150))
+    for a in range(150 - 37):
+        assert found([(1, item.encode())], item[a : a + 37].encode()) == {0}, a
