@@ -12,9 +12,11 @@ bands, the regions that reach the bound are kept, and a banded alignment decides
 The benchmark is a stated query set: it goes to the workers in parts of bounded
 size, and every part is held against every whole text.
 
-Defined results: null and empty texts hold nothing; items of fewer than
-MIN_ITEM characters are not searched, for they occur by chance, and null items
-are not either; repeated rows and items are each reported; further columns are
+Items of fewer than Q bytes have no q-gram; they are found where they stand
+exactly, between word borders.
+
+Defined results: null and empty texts hold nothing; null items and items without
+a letter or digit are not searched; repeated rows and items are each reported; further columns are
 left alone.
 """
 
@@ -40,7 +42,6 @@ WORDS, LONGEST = 13, 96
 STRIDE = 16
 #: Edits allowed, as a share of a window's characters.
 EDITS = 0.08
-MIN_ITEM = 32
 #: Bytes of benchmark text that go to the workers at once.
 PART = 4 << 20
 _BITS = 22
@@ -325,7 +326,7 @@ def item_parts(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
         for r in rows:
             raw = np.frombuffer(r[1].encode(), np.uint8)
             t = normalise(raw, np.array([0, len(raw)]))[0].tobytes().strip() if len(raw) else b""
-            if len(t) >= MIN_ITEM:
+            if t:
                 items.append((r[0], t))
         if items:
             yield Index(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])))

@@ -88,3 +88,14 @@ def test_any_excerpt_of_thirteen_words():
     item = "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(150))
     for a in range(150 - 37):
         assert found([(1, item.encode())], item[a : a + 37].encode()) == {0}, a
+
+
+def test_short_items(spark):
+    items = ["What is the capital of France?", "Who was Ada", "Pi day?", "No", "nine char", "dine char", "...", None]
+    bench = spark.createDataFrame([*enumerate(items), (8, "no!")], "item_id long, text string")
+    texts = ["Q: what is  the capital of france -- Paris", "so who was ada", "on pi day", "A PI DAY.", "pi days, api day", "NO", "know, nor", "a nine-char b", "", None, "yes\nno", "Was it so? What is the capitol of France"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dc.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 1), (2, 2), (3, 2), (5, 3), (5, 8), (7, 4), (10, 3), (10, 8), (11, 0)}
+    assert {r.doc_id: texts[r.doc_id][r.first_byte : r.end_byte] for r in got if r.item_id in (2, 4)} == {2: "pi day", 3: "PI DAY", 7: "nine-char"}
+    assert {r.doc_id for r in dc.clean(docs, bench).collect()} == {4, 6, 8, 9}
