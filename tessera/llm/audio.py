@@ -15,6 +15,7 @@ filled up with silence; repeated rows are each done; further columns stay.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from functools import lru_cache
@@ -143,7 +144,10 @@ def features(samples: bytes, rate: int = RATE) -> tuple[np.ndarray, list[tuple[f
 
 
 def tensors(mel: np.ndarray, spans: list[tuple[float, float]]) -> pa.Table:
-    """A row for each clip: its time span, the voiced seconds in it, and a fixed-shape tensor of CLIP frames."""
+    """A row for each clip: its time span, the voiced seconds in it, and a fixed-shape tensor of CLIP frames.
+
+    The schema's metadata has the number of frames, without the last clip's filling, and the voiced spans.
+    """
     n = -(-len(mel) // CLIP)
     full = np.full((n * CLIP, MELS), FLOOR, np.float32)
     full[: len(mel)] = mel
@@ -151,7 +155,14 @@ def tensors(mel: np.ndarray, spans: list[tuple[float, float]]) -> pa.Table:
     end = np.minimum(begin + CLIP * HOP / TARGET, ((len(mel) - 1) * HOP + FRAME) / TARGET)
     a, b = (np.array([s[i] for s in spans]) for i in (0, 1))
     inside = np.clip(np.minimum(end[:, None], b) - np.maximum(begin[:, None], a), 0, None).sum(axis=1) if len(spans) else np.zeros(n)
-    return pa.table({"start_s": begin, "end_s": end, "voiced_s": inside, "mel": pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, CLIP, MELS))})
+    t = pa.table({"start_s": begin, "end_s": end, "voiced_s": inside, "mel": pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, CLIP, MELS))})
+    return t.replace_schema_metadata({"frames": str(len(mel)), "spans": json.dumps(spans)})
+
+
+def from_tensors(t: pa.Table) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """What tensors() was given."""
+    mel = t["mel"].combine_chunks().to_numpy_ndarray().reshape(-1, MELS)
+    return mel[: int(t.schema.metadata[b"frames"])], [tuple(s) for s in json.loads(t.schema.metadata[b"spans"])]
 
 
 def to_ipc(t: pa.Table) -> bytes:
@@ -203,7 +214,7 @@ FIELDS = [
 
 
 def digests(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with digests of the stored recording, of what is read back from it, and of its features."""
+    """``docs`` with digests of the stored recording, of what is read back from it, and of its features as read back from their tensor stream."""
     ship(docs.sparkSession)
 
     def one(b: pa.RecordBatch) -> list[pa.Array]:
@@ -212,7 +223,8 @@ def digests(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
             raw = t.as_py().encode()
             wave = to_wave(payload(raw))
             samples, rate = from_wave(wave)
-            rows.append((len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(wave), hashlib.sha256(wave).hexdigest(), describe(*features(samples, rate))))
+            stored = to_ipc(tensors(*features(samples, rate)))
+            rows.append((len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(wave), hashlib.sha256(wave).hexdigest(), describe(*from_tensors(from_ipc(stored)))))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
 

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import audio
@@ -70,3 +71,21 @@ def test_query(spark, sf, tmp_path):
     out = audio.with_features(audio.with_waves(rows)).collect()
     assert audio.from_ipc(out[2].tensors).num_rows >= 1 and out[0].n_bytes == 1
     assert audio.with_features(audio.with_waves(rows.limit(0))).count() == 0
+
+
+def test_features_are_read_back_from_the_stream(spark, monkeypatch):
+    raw = b"some words and 128 more \x10\xf0" * 9000
+    for clip in (raw, b"", b"x" * 100_000):
+        mel, spans = audio.features(audio.payload(clip))
+        back, again = audio.from_tensors(audio.from_ipc(audio.to_ipc(audio.tensors(mel, spans))))
+        assert np.array_equal(back, mel) and again == spans
+        assert audio.describe(back, again) == audio.describe(mel, spans)
+    seen = []
+
+    def one(b, fields, run, keep):
+        monkeypatch.setattr(audio, "from_ipc", lambda raw, read=audio.from_ipc: seen.append(len(raw)) or read(raw))
+        return run(pa.RecordBatch.from_pydict({"text": pa.array(["a text", None], pa.string())}))
+
+    monkeypatch.setattr(audio, "extend", one)
+    got = audio.digests(spark.range(1))
+    assert len(seen) == len(got[-1]) == 2
