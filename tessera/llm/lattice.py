@@ -141,6 +141,28 @@ class Pieces:
             a.append(top + log(sum(exp(t - top) for t in ts)))
         return a[n]
 
+    def long_expected(self, word: bytes, logp: np.ndarray, weight: float, out: np.ndarray) -> None:
+        """Adds to ``out`` the expected uses of each piece in a single long word, times its weight; byte by byte."""
+        known = self._index()
+        n, a, edges = len(word), [0.0], []
+        for e in range(1, n + 1):
+            es = [(e - 1, word[e - 1])]
+            for b in range(max(0, e - self.longest), e - 1):
+                i = known.get(word[b:e])
+                if i is not None:
+                    es.append((b, i))
+            edges.append(es)
+            ts = [a[b] + logp[i] for b, i in es]
+            top = max(ts)
+            a.append(top + log(sum(exp(t - top) for t in ts)))
+        # Backwards, the share of all segmentations that pass through a place goes to the edges that end there.
+        share = [0.0] * n + [1.0]
+        for e in range(n, 0, -1):
+            for b, i in edges[e - 1]:
+                s = share[e] * exp(a[b] + logp[i] - a[e])
+                share[b] += s
+                out[i] += weight * s
+
     @lru_cache(1)  # noqa: B019
     def _index(self) -> dict[bytes, int]:
         return {b: i for i, b in enumerate(self.pieces)}

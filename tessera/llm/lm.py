@@ -199,8 +199,8 @@ def piece_uses(words: DataFrame, model: Model, kinds: int) -> np.ndarray:
             ws, counts = _arrays(b, kinds)
             for at, mat in by_length(ws, 1 << 14):
                 if mat is None:
-                    for byte in ws[at[0]]:  # a word beyond the lattice's length counts byte by byte
-                        out[:, byte] += counts[at[0]]
+                    for k in np.flatnonzero(counts[at[0]]).tolist():
+                        m.pieces.long_expected(b" " + ws[at[0]], m.logp[k], counts[at[0], k], out[k])
                     continue
                 edges = m.pieces.edges(mat) if m.shared else None
                 for k in range(kinds):

@@ -94,3 +94,19 @@ def test_defined_results(spark, monkeypatch):
     assert lm.score(none.limit(0), PATH, Scratch(spark, "t")).count() == 0
     alone = lm.score(none.selectExpr("doc_id", "text", "lang", "true as held_out"), PATH, Scratch(spark, "t")).collect()
     assert len(alone) == len(rows) and all(math.isfinite(r.score) and r.train_tokens == 0 and r.n_known == 0 for r in alone)
+
+
+def test_long_words_train_like_short_ones(spark, monkeypatch):
+    p = lattice.Pieces(["▁a", "b", "ab", "▁ab", "ba", "aba", "é", "▁", "c", "ばな"], [-float(i) for i in range(10)])
+    words = [b"abab" * 30, b"cab", "ばな".encode() * 20]
+    rows = spark.createDataFrame([(bytearray(w), 2 * i, 3) for i, w in enumerate(words)], "word binary, c0 long, c1 long")
+    model = lm.Model(p, np.array([6.0, 9]), np.array([1.0, 1]), np.array([0.0, 0]))
+    model.logp[1] = np.roll(model.logp[1], 7)
+    model.shared = False
+    got = lm.piece_uses(rows, model, 2)
+    want = np.zeros((2, len(p.pieces)))
+    for i, w in enumerate(words):
+        m = np.frombuffer(b" " + w, np.uint8)[None]
+        for k, c in ((0, 2.0 * i), (1, 3.0)):
+            want[k] += p.expected(m, model.logp[k], np.array([c]))
+    assert np.allclose(got, want) and got[1, p.pieces.index("ばな".encode())] > 1
