@@ -1,8 +1,9 @@
 """Licence notices in documents: phrases, and an exact set-similarity join with templates.
 
 A text block is a window of twice a template's distinct words, one window
-beginning at every multiple of that number, so any notice as long as the template lies whole
-in some block. A block matches if it contains at least CONTAINMENT of the
+beginning at every multiple of that number, as in the SQL. So a notice of at most
+one word more than that number lies whole in some block; a longer one (templates
+that repeat words) may be cut by every block, and is missed if edited as well. A block matches if it contains at least CONTAINMENT of the
 template's distinct words. Tokens are ordered by their count over all documents,
 the rarest first; a match must hold one of the first |T| - need + 1 tokens
 (prefix filter), have at least ``need`` distinct words (length filter), and while a
