@@ -8,10 +8,16 @@ coordinates put documents into buckets; pairs from buckets are confirmed on the
 full shingle sets.
 
 Documents with equal sets form a class, and only classes are compared. In each
-bucket every class is compared with a pivot. Buckets that then still hold several
-components are gathered to families, and the classes of a family are compared
-block against block: a task's group holds two blocks of bounded size, and gives
-only links that join components, so no table of candidate pairs is made.
+bucket every class is compared with a pivot, and links join classes to
+components. The classes of buckets that then still hold several components are
+compared exactly, but not with all others: with shingles in order of how many of
+these classes have them, the rarest first, two classes can only be linked if they
+share one of the first n - need + 1 (need: the share of n that a link asks for).
+So each such shingle has a list of classes, mostly none or one: classes that share
+no more than boilerplate never meet. Lists, too, are compared with a pivot first.
+A list that even then holds several components is cut into blocks, and two
+blocks of bounded size are compared in one task, which gives only links that join
+components, so no table of candidate pairs is made.
 
 Defined results: null, empty and blank texts have no shingles and are linked
 with nothing; rows that share a doc_id count as one document; rows with a null
@@ -28,6 +34,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.llm import scan
 from tessera.llm.components import components
@@ -37,13 +44,10 @@ from tessera.runtime import Scratch, ship, table
 #: A pair at a similarity of exactly 0.8 shares no band with a probability of (1 - 0.8**6)**56, about 4e-8.
 BANDS, ROWS = 56, 6
 UNIVERSE = 1 << 20
-#: Classes and shingles in a block of a family, about.
+#: Classes and shingles in a block of a list, about.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
 #: Ids of candidates that are broadcast to the texts, 8 bytes each.
 SENT_IDS = 2_000_000
-#: Pairs beyond the pivots' are confirmed if this share of coordinates agrees: at 0.8, five and a half
-#: standard deviations below what is expected, so one of 5e7 such pairs is missed, about as many as the bands miss.
-AGREE = 0.68
 
 
 def _permutation(seed: int) -> np.ndarray:
@@ -98,42 +102,22 @@ def shingle_sets(texts: pa.LargeStringArray, width: int):
                 yield words[:0]
 
 
-_sketchers: dict[tuple[int, int], Sketcher] = {}
-
-
-def _sketcher(bands: int, rows: int) -> Sketcher:
-    if (bands, rows) not in _sketchers:
-        _sketchers[bands, rows] = Sketcher(bands, rows)
-    return _sketchers[bands, rows]
-
-
 def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n, set_id, keys, low): set size, digest of the set, band keys, and a byte of each coordinate."""
+    """(doc_id, n, set_id, keys): set size, digest of the set, and band keys."""
 
     def one(b: pa.RecordBatch) -> list[pa.Array]:
-        s = _sketcher(bands, rows)
-        n, ids, sig = [], [], []
+        s = scan.held(("sketcher", bands, rows), lambda: Sketcher(bands, rows))
+        n, ids, keys = [], [], [np.zeros((0, bands), np.int64)]
         with np.errstate(over="ignore"):
             for u in shingle_sets(utf8(b.column(1)), width):
                 n.append(len(u))
                 ids.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
                 if len(u):
-                    sig.append(s.signature(u))
-            sig = np.array(sig, np.uint32).reshape(-1, bands * rows)
-            keys = s.band_keys(sig)
-        counts = np.array(n)
-        off = np.concatenate([[0], np.cumsum(np.where(counts > 0, bands, 0))])
-        low, low_rows = iter(sig.astype(np.uint8)), []
-        for c in n:
-            low_rows.append(next(low).tobytes() if c else None)
-        return [
-            pa.array(n, pa.int64()),
-            pa.array(ids, pa.binary()),
-            pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(keys.reshape(-1))),
-            pa.array(low_rows, pa.binary()),
-        ]
-
-    fields = [T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("low", T.BinaryType())]
+                    keys.append(s.band_keys(s.signature(u)[None, :]))
+        off = np.concatenate([[0], np.cumsum(np.where(np.array(n) > 0, bands, 0))])
+        return [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(keys).reshape(-1)))]
+
+    fields = [T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     return extend(docs, fields, one, ["doc_id"])
 
 
@@ -147,61 +131,83 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return extend(docs, [T.StructField("shingles", T.ArrayType(T.LongType(), False))], one, ["doc_id"])
 
 
-def _families(members: DataFrame, sets: DataFrame, sketch: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(u, v): links between classes of different roots that share a bucket; at least one chain of links wherever there is a link.
-
-    ``members`` (key, rep, root) holds the buckets in which several roots are left.
-    Buckets that share members make a family. A family is cut by hash into blocks
-    of bounded size, and each pair of its blocks is one task's group: there all
-    pairs of different roots are compared, first by coordinates, then on full
-    sets, except those that links found there already join.
+def _lists(sets: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(token, sid, rep, root): for each shingle, the sets (sid, rep, shingles) that have it among their first; of several roots."""
+    least = F.expr(f"({percent} * n + 99) div 100")
+    words = sets.select("sid", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    # A table of its own, so that the join below is between two shuffles and a common shingle's side can be split.
+    often = scratch.write(words.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    own = Window.partitionBy("sid")
+    # Shingles that no other set has come first, so of the others the first (those shared) - need + 1 count.
+    first = words.join(often, "token").select("sid", "token", "n", F.row_number().over(own.orderBy("often", "token")).alias("r"), F.count("*").over(own).alias("shared"))
+    first = first.where(F.col("r") <= F.col("shared") - least + 1).select("sid", "token")
+    first = scratch.write(first.join(sets.select("sid", "rep").join(roots, "rep"), "sid"), "first")
+    # Lists of the same sets are one list: they are told by two hashes over their sets.
+    kinds = first.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "sid")).alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    kinds = scratch.write(kinds.where("lo < hi").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token"), "lists")
+    return scratch.write(first.join(kinds, "token", "left_semi"), "members")
+
+
+def _blocks(lists: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(u, v): links between classes of different roots that share a list; at least one chain of links wherever there is a link.
+
+    ``lists`` is (token, sid, rep, root). A list is cut by hash into blocks of
+    bounded size, and each pair of its blocks is one task's group.
     """
-    low = members.groupBy("key").agg(F.min("rep").alias("v"))
-    family = components(members.join(low, "key").select(F.col("rep").alias("u"), "v"), scratch)
-    family = family.toDF("rep", "family")
-    one_each = scratch.write(members.select("rep", "root").distinct().join(family, "rep"), "family")
-    rows = one_each.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep").join(sketch, "rep")
-    size = rows.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("shingles").cast("long")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = rows.join(scratch.write(size, "blocks"), "family")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = lists.join(sets.select("sid", F.size("shingles").cast("long").alias("n")), "sid")
+    size = rows.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = rows.join(scratch.write(size, "blocks"), "token")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "low", "shingles")
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "rep", "root")
+    rows = scratch.write(rows, "pairs of blocks").join(sets.select("sid", "shingles"), "sid")
 
     def run(t: pa.Table) -> pa.Table:
         rep, root, own = (t[c].to_numpy() for c in ("rep", "root", "own"))
-        low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(rep), -1)
         column = t["shingles"].combine_chunks()
-        flat, off = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets.to_numpy()[0]
-        sets_ = [np.sort(flat[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)]
-        n = np.diff(off)
-        of = {r: r for r in root.tolist()}
-
-        def find(x):
-            while of[x] != x:
-                of[x] = of[of[x]]
-                x = of[x]
-            return x
-
+        off = column.offsets.to_numpy()
+        flat, off = column.flatten().to_numpy(), off - off[0]
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for x in left.tolist():
-            y = right if i != j else right[right > x]
-            y = y[(root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-            y = y[(low[y] == low[x]).mean(axis=1) >= AGREE]
-            for z in y.tolist():
-                a, b = find(root[x]), find(root[z])
-                if a == b:
-                    continue
-                s, u = sets_[x], sets_[z]
-                at = np.searchsorted(u, s)
-                both = int((u[np.minimum(at, len(u) - 1)] == s).sum())
-                if 100 * both >= percent * (len(s) + len(u) - both):
-                    of[max(a, b)] = min(a, b)
-                    out.append((int(rep[x]), int(rep[z])))
+        out = _compared(rep, root, flat, off, np.flatnonzero(own == i), np.flatnonzero(own == j), percent)
         return pa.table({"u": pa.array([p[0] for p in out], pa.int64()), "v": pa.array([p[1] for p in out], pa.int64())})
 
-    return rows.groupBy("family", "i", "j").applyInArrow(run, "u long, v long")
+    return rows.groupBy("token", "i", "j").applyInArrow(run, "u long, v long")
+
+
+def _compared(rep, root, flat, off, left, right, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets ``left`` and ``right`` (places in rep) that join roots; set k is flat[off[k] : off[k + 1]]."""
+    n = np.diff(off)
+    of = {r: r for r in root.tolist()}
+
+    def find(x):
+        while of[x] != x:
+            of[x] = of[of[x]]
+            x = of[x]
+        return x
+
+    # Of each shingle of the right side, the sets there that have it.
+    inner = np.repeat(np.arange(len(right)), n[right])
+    at = np.concatenate([np.arange(off[k], off[k + 1]) for k in right]) if len(right) else np.zeros(0, np.int64)
+    order = np.argsort(flat[at], kind="stable")
+    token, owner = flat[at][order], inner[order]
+    labels = root.copy()  # of each set, its component so far
+    out = []
+    for x in left.tolist():
+        other = labels[right] != labels[x]
+        if not other.any():
+            continue
+        s = flat[off[x] : off[x + 1]]
+        a, z = np.searchsorted(token, s, "left"), np.searchsorted(token, s, "right")
+        c = z - a
+        hits = owner[np.repeat(a - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+        both = np.bincount(hits, minlength=len(right))
+        for y in right[np.flatnonzero(other & (100 * both >= percent * (n[x] + n[right] - both)))].tolist():
+            a, b = find(int(root[x])), find(int(root[y]))
+            if a != b:
+                of[max(a, b)] = min(a, b)
+                labels[labels == max(a, b)] = min(a, b)
+                out.append((int(rep[x]), int(rep[y])))
+    return out
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -223,20 +229,31 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     classes = scratch.write(classes, "classes")
     reps = sketch.select(F.col("doc_id").alias("rep"), "n", "set_id", "keys").join(classes, ["rep", "set_id"], "left_semi")
     spread = reps.select("rep", "n", F.explode("keys").alias("key"))
+    # Written, so that the joins with it are between two shuffles, and a hot bucket's side can be split.
     shared = spread.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("pivot < other").select("key", "pivot")
-    members = scratch.write(spread.join(shared, "key").select("key", "pivot", "rep", "n"), "members")
+    shared = scratch.write(shared, "shared")
+    members = scratch.write(spread.join(shared, "key").select("key", "pivot", "rep"), "members")
 
     pairs = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = scratch.write(_confirm(docs, scratch.write(pairs, "pairs"), width, percent, scratch), "links")
     roots = scratch.write(components(links, scratch), "roots")
-    # Buckets that still hold more than one component.
+    # The classes of buckets that still hold more than one component.
     now = members.select("key", "rep").join(roots, members.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    open_ = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    now = scratch.write(now.join(open_, "key", "left_semi"), "open")
-    need = scratch.write(now.select(F.col("rep").alias("doc_id")).distinct(), "need")
-    sets = scratch.write(_sets(_chosen(docs, need), width), "sets")
-    low = sketch.select(F.col("doc_id").alias("rep"), "set_id", "low").join(classes, ["rep", "set_id"], "left_semi").select("rep", "low")
-    more = scratch.write(_families(now, sets, low, percent, scratch), "links")
+    now = scratch.write(now, "now")
+    several = scratch.write(now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"), "several")
+    left = scratch.write(now.join(several, "key", "left_semi").select("rep", "root").distinct(), "left")
+    sets = _sets(_chosen(docs, left.select(F.col("rep").alias("doc_id"))), width).select(F.monotonically_increasing_id().alias("sid"), F.col("doc_id").alias("rep"), "shingles")
+    sets = scratch.write(sets, "sets")
+    lists = _lists(sets, left, percent, scratch)
+    low = scratch.write(lists.groupBy("token").agg(F.min("rep").alias("a")), "low")
+    pairs = scratch.write(lists.join(low, "token").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    more = scratch.write(_linked(pairs, sets.drop("sid"), percent), "links")
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        roots = scratch.write(components(links, scratch), "roots")
+        lists = lists.drop("root").join(roots, lists.rep == roots.node, "left").select("token", "sid", "rep", F.coalesce("root", "rep").alias("root"))
+    several = scratch.write(lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "several")
+    more = scratch.write(_blocks(scratch.write(lists.join(several, "token", "left_semi"), "lists"), sets, percent, scratch), "links")
     if more.limit(1).count():
         links = links.unionByName(more)
         roots = scratch.write(components(links, scratch), "roots")
@@ -260,9 +277,14 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratc
     need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # A doc_id of several rows has several sets; a link of any is a link of the document.
     sets = scratch.write(_sets(_chosen(docs, scratch.write(need, "need")), width), "sets")
+    return _linked(pairs, sets.withColumnRenamed("doc_id", "rep"), percent)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the pairs (a, b) whose sets (rep, shingles) are linked."""
     size = F.size("shingles")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), size.alias("na"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), size.alias("nb"))
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"), size.alias("na"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"), size.alias("nb"))
     both = F.size(F.array_intersect("sa", "sb"))
     joined = pairs.join(right, "b").join(left, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return joined.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()

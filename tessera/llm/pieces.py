@@ -28,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera.llm import scan
 from tessera.llm.scan import extend, utf8
 from tessera.runtime import ship
 
 MARK = "▁"
-#: Segments kept by a worker in each of two generations.
-CACHE = 400_000
+#: Bytes of segments and their ids that a worker keeps in each of two generations, about.
+CACHE = 20 << 20
+#: Bytes of Python objects for each kept segment, besides its characters and ids; pairs of tokens whose fit is kept.
+ENTRY, FITS = 190, 100_000
 #: Largest model file that is broadcast.
 MODEL_BYTES = 64 << 20
 
@@ -135,6 +138,7 @@ class Codec:
         self.pack = struct.pack
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young_bytes = 0
         body = [b"" if i in model.control else t.replace(MARK, " ").encode() for i, t in enumerate(model.text)]
         for v, i in enumerate(model.byte):
             body[i] = bytes([v])
@@ -159,7 +163,7 @@ class Codec:
         """
         ok = self.fits.get((left, right))
         if ok is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > FITS:
                 self.fits.clear()
             score, rank, parts = self.m.score, self.m.rank, self.m.parts
             a, b = self._text(left), self._text(right)
@@ -240,9 +244,10 @@ class Codec:
         if got is None:
             got = self._segment(s)
         if len(s) < 64:
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
+            if self.young_bytes >= CACHE:
+                self.old, self.young, self.young_bytes = self.young, {}, 0
             self.young[s] = got
+            self.young_bytes += ENTRY + len(s) + len(got)
         return got
 
     def encode(self, text: str) -> bytes:
@@ -301,16 +306,9 @@ class Codec:
         return b"".join(out)
 
 
-_codec: dict[int, tuple[Model, Codec]] = {}
-
-
 def codec(model: Model) -> Codec:
-    """This worker's codec; what it has kept serves later batches and tasks."""
-    key = id(model)
-    if key not in _codec:
-        _codec.clear()
-        _codec[key] = (model, Codec(model))
-    return _codec[key][1]
+    """This worker's codec; what it has kept serves later batches and tasks, until another operator's tables take its place."""
+    return scan.held(("pieces", id(model)), lambda: (model, Codec(model)))[1]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

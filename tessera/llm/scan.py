@@ -7,7 +7,10 @@ by the block (or by a single longer text) and no Python object is made per word.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
+from functools import wraps
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,37 @@ BLOCK = 1 << 20
 U = np.uint64
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """This worker's tables under ``key``; only those of the operator that ran last are kept, so that stages do not pile up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a generator over Arrow batches; when its task ends, free memory goes back to the system."""
+
+    @wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection on 64-bit values."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -110,10 +144,15 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def extend(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
-    """``df`` (or its columns ``keep``) with new columns that ``fn`` makes from each Arrow batch, in order of ``fields``."""
-    kept = df.columns if keep is None else keep
+    """``df`` (or its columns ``keep``) with new columns that ``fn`` makes from each Arrow batch, in order of ``fields``.
+
+    As with ``withColumn``, a column that has the name of a new one gives way to it, whatever its case.
+    """
+    new_names = {f.name.lower() for f in fields}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new_names]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
 
+    @tidied
     def run(batches):
         for b in batches:
             new = fn(b)

@@ -84,3 +84,42 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200), (None, 3), (7, None)] + [(300, i) for i in range(301, 340)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, **{i: 300 for i in range(300, 340)}}
+
+
+def test_boilerplate_families(spark):
+    """Texts of one frame with their own words: buckets in common, few links."""
+    import random
+
+    rnd = random.Random(5)
+    frame = [f"f{i}" for i in range(120)]
+    rows = []
+    for d in range(150):
+        own = [f"o{d}_{i}" for i in range(rnd.randint(18, 45))]
+        rows.append((d, " ".join(frame + own)))
+        if d % 5 == 0:
+            rows.append((1000 + d, " ".join(frame[2:] + own)))
+    rnd.shuffle(rows)
+    check(spark, rows)
+    check(spark, rows, width=5)
+
+
+def test_lists_in_blocks(spark, monkeypatch):
+    """Small blocks, so that lists are cut."""
+    import random
+
+    rnd = random.Random(6)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for d in range(90):
+        w = list(base)
+        for _ in range(rnd.randint(4, 9)):
+            w[rnd.randrange(len(w))] = f"r{rnd.random()}"
+        rows.append((d, " ".join(w)))
+    check(spark, rows)
+
+
+def test_long_text(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[20_000:])), (3, " ".join(words[:40_000])), (4, "x" * 5_000_000)]
+    check(spark, rows)
