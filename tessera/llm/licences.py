@@ -1,21 +1,26 @@
 """Licence notices in documents: phrases, and an exact set-similarity join with templates.
 
-A text block is a window of twice a template's distinct words, one window
-beginning at every multiple of that number, as in the SQL. So a notice of at most
-one word more than that number lies whole in some block; a longer one (templates
-that repeat words) may be cut by every block, and is missed if edited as well. A block matches if it contains at least CONTAINMENT of the
-template's distinct words. Tokens are ordered by their count over all documents,
-the rarest first; a match must hold one of the first |T| - need + 1 tokens
-(prefix filter), have at least ``need`` distinct words (length filter), and while a
-candidate's tokens are counted in that order it is given up as soon as the rest
-cannot make up for those missing (positional filter).
+A text block is a window of WIDER times a template's words, one window beginning
+at every word of the text (a shorter text is one block). A block matches if it
+contains at least CONTAINMENT of the template's distinct words, and each of the
+template's telling phrases whole: the words that tell a licence from its
+relatives, such as the version. Blocks that match and follow one another are
+given as one.
+
+Tokens are ordered by their count over all documents, the rarest first. A text
+with a match must hold one of the first |T| - need + 1 tokens (prefix filter) and
+at least ``need`` distinct ones (length filter), and while its tokens are counted
+in that order it is given up as soon as the rest cannot make up for those
+missing (positional filter). Of what is left, the distinct words of all windows
+are counted at once: a word's place counts for the windows that begin after the
+word's place before and reach it.
 
 Only counts of template words and the templates themselves, both bounded by the
 templates' size, go through the driver. Each text is scanned whole in one task.
 
 Defined results: null and empty texts have no words, no places, empty labels and
 score 0; the score is the best containment found, 1 for a phrase; repeated rows
-are each reported; further columns are left alone.
+are each reported; further columns stay, but for those with the names of new ones.
 """
 
 from __future__ import annotations
@@ -29,32 +34,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import scan
+from tessera.llm.notices import TEMPLATES
 from tessera.llm.scan import U, extend, utf8
 from tessera.runtime import ship, table
 
 CONTAINMENT = 0.8
+#: Words of a block, as a multiple of the template's words.
+WIDER = 1.25
+
+Template = tuple[str, str, tuple[str, ...]]
 
 # The phrases, whose words stand consecutively, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Usual licence notices, and the label of each.
-TEMPLATES = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-]
-
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -94,6 +86,7 @@ def token_counts(docs: DataFrame, tokens: list[str]) -> list[int]:
     """How often each token stands in all texts; one partial row of each task and token."""
     ship(docs.sparkSession)
 
+    @scan.tidied
     def count(batches):
         look, total = Lookup(tokens), np.zeros(len(tokens), np.int64)
         for b in batches:
@@ -109,52 +102,87 @@ def token_counts(docs: DataFrame, tokens: list[str]) -> list[int]:
     return [n.get(i, 0) for i in range(len(tokens))]
 
 
+def bounds(template: Template, containment: float = CONTAINMENT) -> tuple[list[str], int, int]:
+    """A template's distinct words, how many of them a block needs, and the words of a block."""
+    w = words(template[1])
+    distinct = sorted(set(w))
+    return distinct, int(np.ceil(containment * len(distinct) - 1e-9)), int(np.ceil(WIDER * len(w) - 1e-9))
+
+
 class Matcher:
     """Phrases and templates, with tokens in global order of frequency."""
 
-    def __init__(self, templates: list[tuple[str, str]], count: dict[str, int], containment: float = CONTAINMENT):
+    def __init__(self, templates: list[Template], count: dict[str, int], containment: float = CONTAINMENT):
         self.templates = []
-        for label, text in templates:
-            order = sorted(set(words(text)), key=lambda w: (count.get(w, 0), w))
-            need = int(np.ceil(containment * len(order) - 1e-9))
-            self.templates.append((label, order, need))
+        for t in templates:
+            distinct, need, width = bounds(t, containment)
+            order = sorted(distinct, key=lambda w: (count.get(w, 0), w))
+            self.templates.append((t[0], order, frozenset(order), need, width, [p.split() for p in t[2]]))
         self.phrases = [(p.split(), label) for p, label in PHRASES.items()]
         rare = {w: [] for p, _ in self.phrases for w in p[-1:]}
-        for i, (_, order, need) in enumerate(self.templates):
+        for i, (_, order, _, need, _, _) in enumerate(self.templates):
             for w in order[: len(order) - need + 1]:
                 rare.setdefault(w, []).append(i)
         self.rare = rare
         self.look = Lookup(list(rare))
 
     def phrase_places(self, w: list[str]) -> list[tuple[int, str]]:
-        return [(i, label) for p, label in self.phrases for i in range(len(w) - len(p) + 1) if w[i] == p[0] and w[i : i + len(p)] == p]
+        return [(i, label) for p, label in self.phrases for i in _places(w, p)]
 
     def blocks(self, w: list[str]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end word, containment) of each matching block."""
-        if not w:
-            return []
-        windows: set[tuple[int, int]] = set()
+        """(label, first word, end word, best containment) of the matching blocks, those in a row as one."""
+        at: dict[str, list[int]] = {}
         for pos, word in enumerate(w):
-            for i in self.rare.get(word, ()):
-                k = pos // len(self.templates[i][1])
-                windows.update(((i, k), (i, max(k - 1, 0))))
+            at.setdefault(word, []).append(pos)
         out = []
-        for i, k in sorted(windows):
-            label, order, need = self.templates[i]
-            a = k * len(order)
-            block = set(w[a : a + 2 * len(order)])
-            if len(block) < need:
+        for i in sorted({i for word in at for i in self.rare.get(word, ())}):
+            label, order, distinct, need, width, tells = self.templates[i]
+            if len(at) < need or not _enough(order, at, need):
+                continue
+            told = [_places(w, p, at) for p in tells]
+            if not all(told):
                 continue
-            missing = 0
-            for t in order:
-                missing += t not in block
-                if missing > len(order) - need:
-                    break
-            else:
-                out.append((label, a, min(len(w), a + 2 * len(order)), (len(order) - missing) / len(order)))
+            last = max(len(w) - width, 0)
+            found = np.zeros(last + 2, np.int32)
+            for t in distinct & at.keys():
+                _cover(found, np.array(at[t]), 1, width, last)
+            found = np.cumsum(found[:-1])
+            ok = found >= need
+            for p, places in zip(tells, told, strict=True):
+                whole = np.zeros(last + 2, np.int32)
+                _cover(whole, np.array(places), len(p), width, last)
+                ok &= np.cumsum(whole[:-1]) > 0
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], ok, [False]])))
+            for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                out.append((label, a, min(len(w), z - 1 + width), int(found[a:z].max()) / len(order)))
         return out
 
 
+def _places(w: list[str], phrase: list[str], at: dict[str, list[int]] | None = None) -> list[int]:
+    begins = range(len(w) - len(phrase) + 1) if at is None else at.get(phrase[0], ())
+    return [i for i in begins if w[i] == phrase[0] and w[i : i + len(phrase)] == phrase]
+
+
+def _enough(order: list[str], at: dict[str, list[int]], need: int) -> bool:
+    """Whether a text has ``need`` of the tokens, the rarest looked at first."""
+    spare = len(order) - need
+    for t in order:
+        if t not in at:
+            spare -= 1
+            if spare < 0:
+                return False
+    return True
+
+
+def _cover(sums: np.ndarray, places: np.ndarray, size: int, width: int, last: int) -> None:
+    """Adds, as differences, one to each window's beginning from which one of the places (each of ``size`` words) is the first inside."""
+    begin = np.maximum(np.concatenate([[0], places[:-1] + 1]), places + size - width)
+    end = np.minimum(places, last)
+    ok = begin <= end
+    np.add.at(sums, begin[ok], 1)
+    np.add.at(sums, end[ok] + 1, -1)
+
+
 BLOCK = T.StructType([T.StructField("label", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("containment", T.DoubleType())])
 FIELDS = [
     T.StructField("n_words", T.LongType(), False),
@@ -169,10 +197,10 @@ FIELDS = [
 _BLOCKS = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("containment", pa.float64())]))
 
 
-def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, keep: list[str] | None = None) -> DataFrame:
+def scan_licences(docs: DataFrame, templates: list[Template] = TEMPLATES, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the places of the phrases and the blocks that match templates; see FIELDS."""
     ship(docs.sparkSession)
-    tokens = sorted({w for _, t in templates for w in words(t)})
+    tokens = sorted({w for _, t, _ in templates for w in words(t)})
     count = dict(zip(tokens, token_counts(docs, tokens), strict=True))
     shared = docs.sparkSession.sparkContext.broadcast(Matcher(templates, count))
 
