@@ -113,11 +113,11 @@ class Pieces:
                 parts.append((r, a[r, b] + logp[i]))
         return a
 
-    def expected(self, words: np.ndarray, logp: np.ndarray, weight: np.ndarray, edges=None) -> np.ndarray:
+    def expected(self, words: np.ndarray, logp: np.ndarray, weight: np.ndarray, edges=None, forward=None) -> np.ndarray:
         """Expected uses of each piece over all segmentations, times the words' weights."""
         m, n = words.shape
         edges = edges or self.edges(words)
-        a = self.forward(words, logp, edges)
+        a = self.forward(words, logp, edges) if forward is None else forward
         z = np.full((m, n + 1), -np.inf)
         z[:, n] = 0
         out = np.zeros(len(self.pieces))

@@ -2,19 +2,22 @@
 
 Tokens are a text's lower-cased words, then one end. The model is a mixture over
 the languages of the training texts. Within a language a word's probability sums
-all segmentations into pieces of an existing vocabulary (see ``lattice``), whose
-probabilities are fitted by expectation-maximisation, plus one edge over the
-whole word, weighted by its count; the share of the pieces is that of words seen
-once. The lattice's forward recursion runs once for each distinct word of the
-corpus, and a text's score is the log of the sum over languages of the
-probabilities of its words and end.
+all segmentations into pieces of an existing vocabulary (see ``lattice``), plus
+one edge over the whole word, weighted by its count. The pieces' probabilities,
+and the share of the whole-word edges, are fitted together by
+expectation-maximisation over all training words, each judged by the counts
+without itself: so the lattice learns to spell the words that counts do not
+foresee. Both start plainly: the pieces at Zipf's law over the vocabulary's
+order, the share of the lattice at that of words seen once. The forward
+recursion runs once for each distinct word of the corpus, and a text's score is
+the log of the sum over languages of the probabilities of its words and end.
 
 No table of words is ever in one place. Texts are packed into blocks; each block
 gives its distinct words with counts; these are summed by word over the corpus,
-which also lists the blocks that have the word; the words are scored and sent
-back to their blocks. A word has at most one row for each block and language,
-so the commonest word is no hot key, and a text meets the words of its own block
-only.
+with the blocks that have the word in lists of bounded length; the words are
+scored and sent back to their blocks. A word has at most one row for each block
+and language, so the commonest word is no hot key, and a text meets the words of
+its own block only.
 
 Defined results: null and empty texts have the end only; texts with a null
 doc_id are training texts; repeated rows are each scored; null languages are one
@@ -28,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm import scan
 from tessera.llm.lattice import Pieces, by_length
@@ -36,9 +40,12 @@ from tessera.runtime import Scratch, ship, table
 
 #: Bytes of text in a block, at least one text.
 BLOCK = 24 << 20
-#: Languages with components of their own, the commonest in training; the others share one.
-COMPONENTS = 7
+#: Languages with components of their own, the commonest in training; any others share one more. Each costs a
+#: forward pass over every word and 256 KB of the model that workers get.
+COMPONENTS = 63
 ROUNDS = 2
+#: Blocks in one list of a word's places.
+PLACES = 4096
 SMOOTH = 1e-3
 #: Bytes of a block are compressed by this codec while they wait.
 CODEC = "zstd"
@@ -51,6 +58,7 @@ def pack(docs: DataFrame, langs: list, kinds: int) -> DataFrame:
     number = {x: i for i, x in enumerate(langs)}
     last = max(kinds - 1, 0)
 
+    @scan.tidied
     def run(batches):
         from pyspark import TaskContext
 
@@ -118,6 +126,7 @@ def word_counts(blocks: DataFrame, kinds: int) -> DataFrame:
     ``at``; one only seen outside training has kind -1 and count 0.
     """
 
+    @scan.tidied
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
@@ -156,15 +165,23 @@ class Model:
         self.logp = np.tile(pieces.start, (kinds, 1))
         total = n_words + n_docs
         self.total = np.maximum(total, 1)
-        self.whole = np.where(total > 0, np.clip(1 - once / self.total, 0.5, 0.999), 0.0)
+        #: The share of whole-word edges; one word more is taken as seen once, so that the lattice always has some.
+        self.whole = np.where(total > 0, np.maximum(1 - (once + 1) / self.total, 0.0), 0.0)
+        self.n_docs = n_docs
         with np.errstate(divide="ignore"):
             prior = n_docs / max(n_docs.sum(), 1) if n_docs.sum() else np.full(kinds, 1 / kinds)
             self.prior = np.log(prior)
-            # The end is a word that every training text has.
-            self.end = np.log(np.where(total > 0, np.clip(self.whole * n_docs / self.total, 1e-300, 1), 0.5))
         self.shared = True
 
-    def fit(self, uses: np.ndarray) -> None:
+    @property
+    def end(self) -> np.ndarray:
+        """The end is a word that every training text has; where there is none, one of two words."""
+        with np.errstate(divide="ignore"):
+            return np.log(np.where(self.n_docs > 0, np.maximum(self.whole, 1 / self.total) * self.n_docs / self.total, 0.5))
+
+    def fit(self, uses: np.ndarray, spelled: np.ndarray) -> None:
+        """One step: ``uses`` are the expected uses of each piece by language, ``spelled`` the expected words that take the lattice."""
+        self.whole = np.where(self.total > 1, 1 - np.clip((spelled + 1) / self.total, 0, 1), 0.0)
         uses = uses + SMOOTH * (uses.sum(axis=0) / max(uses.sum(), 1) * len(self.pieces.pieces) + 1) / 2
         self.logp = np.log(uses / uses.sum(axis=1, keepdims=True))
         self.shared = False
@@ -182,41 +199,60 @@ class Model:
         with np.errstate(divide="ignore"):
             return np.logaddexp(np.log(self.whole * counts / self.total), np.log1p(-self.whole) + lat)
 
+    def spelled(self, k: int, counts: np.ndarray, lat: np.ndarray) -> np.ndarray:
+        """Of each word's uses in language k, how many take the lattice, each use judged by the counts without itself."""
+        known = self.whole[k] * (counts - 1) / max(self.total[k] - 1, 1)
+        spelt = (1 - self.whole[k]) * np.exp(lat)
+        return counts * np.divide(spelt, known + spelt, out=np.ones(len(counts)), where=known + spelt > 0)
+
 
 def _arrays(b: pa.RecordBatch, kinds: int) -> tuple[list[bytes], np.ndarray]:
     words = b.column(b.schema.get_field_index("word")).to_pylist()
     return words, np.array([b.column(b.schema.get_field_index(f"c{k}")).to_numpy(zero_copy_only=False) for k in range(kinds)], float).T.reshape(len(words), kinds)
 
 
-def piece_uses(words: DataFrame, model: Model, kinds: int) -> np.ndarray:
-    """(languages, pieces) expected uses over all training words; a task gives a row for each language and piece."""
+def piece_uses(words: DataFrame, model: Model, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(languages, pieces) expected uses over all training words, and by language the words that take the lattice; a task gives a row for each language and piece."""
     shared = words.sparkSession.sparkContext.broadcast(model)
 
+    @scan.tidied
     def run(batches):
         m = shared.value
-        out = np.zeros((kinds, len(m.pieces.pieces)))
+        out = np.zeros((kinds, len(m.pieces.pieces) + 1))  # the last: words that take the lattice
         for b in batches:
             ws, counts = _arrays(b, kinds)
             for at, mat in by_length(ws, 1 << 14):
                 if mat is None:
                     for k in np.flatnonzero(counts[at[0]]).tolist():
-                        m.pieces.long_expected(b" " + ws[at[0]], m.logp[k], counts[at[0], k], out[k])
+                        c = m.spelled(k, counts[at, k], np.array([m.pieces.long_word(b" " + ws[at[0]], m.logp[k])]))
+                        m.pieces.long_expected(b" " + ws[at[0]], m.logp[k], c[0], out[k, :-1])
+                        out[k, -1] += c[0]
                     continue
                 edges = m.pieces.edges(mat) if m.shared else None
+                forward = m.pieces.forward(mat, m.logp[0], edges) if m.shared else None
                 for k in range(kinds):
-                    c = counts[at, k]
-                    if m.shared and c.any():
-                        out[k] += m.pieces.expected(mat, m.logp[k], c, edges)
-                    elif (some := np.flatnonzero(c)).size:
-                        out[k] += m.pieces.expected(mat[some], m.logp[k], c[some])
+                    some = np.flatnonzero(counts[at, k])
+                    if not some.size:
+                        continue
+                    if m.shared:  # one start for all languages, so one lattice for all words
+                        c = np.zeros(len(at))
+                        c[some] = m.spelled(k, counts[at[some], k], forward[some, -1])
+                        out[k, :-1] += m.pieces.expected(mat, m.logp[k], c, edges, forward)
+                    else:
+                        part = mat[some]
+                        es = m.pieces.edges(part)
+                        f = m.pieces.forward(part, m.logp[k], es)
+                        c = m.spelled(k, counts[at[some], k], f[:, -1])
+                        out[k, :-1] += m.pieces.expected(part, m.logp[k], c, es, f)
+                    out[k, -1] += c.sum()
         k, i = np.nonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(i, pa.int32()), pa.array(out[k, i])], names=["kind", "piece", "uses"])
 
-    # At most languages * pieces rows.
+    # At most languages * (pieces + 1) rows.
     got = words.mapInArrow(run, "kind int, piece int, uses double").groupBy("kind", "piece").agg(F.sum("uses").alias("uses")).toPandas()
-    out = np.zeros((kinds, len(model.pieces.pieces)))
+    out = np.zeros((kinds, len(model.pieces.pieces) + 1))
     out[got.kind.to_numpy(np.int64), got.piece.to_numpy(np.int64)] = got.uses.to_numpy(float)
-    return out
+    return out[:, :-1], out[:, -1]
 
 
 def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
@@ -238,13 +274,18 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
     kinds = max(1, len(per_lang))  # beyond COMPONENTS, the last is all other languages
     blocks = scratch.write(pack(docs, langs, kinds), "blocks")
     seen = scratch.write(word_counts(blocks, kinds), "seen")
-    sums = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(kinds)]
-    # One shuffle: the places of a word, one for each block that has it, stay beside its counts.
+    # One shuffle, by word: the places of a word, one for each block that has it, stay beside its counts, in lists of bounded length.
+    sums = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"p{k}") for k in range(kinds)]
     places = F.collect_list(F.when(F.col("at").isNotNull(), F.struct("block", "at"))).alias("places")
-    words = scratch.write(seen.groupBy("word").agg(*sums, places), "words")
+    lists = max(1, -(-blocks.count() // PLACES))
+    own = Window.partitionBy("word")
+    words = seen.withColumn("list", F.pmod(F.xxhash64("block"), F.lit(lists)).cast("int")).repartition("word").groupBy("word", "list").agg(*sums, places)
+    # Of a word with several lists, the first counts in statistics.
+    words = words.select("word", (F.row_number().over(own.orderBy("list")) == 1).alias("lead"), *(F.sum(f"p{k}").over(own).alias(f"c{k}") for k in range(kinds)), "places")
+    words = scratch.write(words, "words")
     scratch.drop(seen)
     total = sum((F.col(f"c{k}") for k in range(kinds)), F.lit(0))
-    stats = words.agg(*(f(F.col(f"c{k}")).alias(f"{n}{k}") for k in range(kinds) for n, f in (("n", F.sum), ("o", lambda c: F.count_if(c == 1)))), F.count_if(total > 0).alias("v")).first()
+    stats = words.where("lead").agg(*(f(F.col(f"c{k}")).alias(f"{n}{k}") for k in range(kinds) for n, f in (("n", F.sum), ("o", lambda c: F.count_if(c == 1)))), F.count_if(total > 0).alias("v")).first()
     n_words = np.array([stats[f"n{k}"] or 0 for k in range(kinds)], float)
     once = np.array([stats[f"o{k}"] or 0 for k in range(kinds)], float)
     ends = docs.where("not held_out").select(F.coalesce(*(F.when(F.col("lang").eqNullSafe(F.lit(x)), k) for k, x in enumerate(langs)), F.lit(max(kinds - 1, 0))).alias("k")).groupBy("k").count().collect()
@@ -255,18 +296,19 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
     all_types = int(stats.v) + int(n_docs.sum() > 0)
 
     model = Model(pieces, n_words, n_docs, once)
-    train = words.where(total > 0)
+    train = words.where("lead").where(total > 0)
     if all_tokens:
         for _ in range(ROUNDS):
-            model.fit(piece_uses(train, model, kinds))
+            model.fit(*piece_uses(train, model, kinds))
     shared = spark.sparkContext.broadcast(model)
 
+    @scan.tidied
     def run(batches):
         for b in batches:
             ws, counts = _arrays(b, kinds)
             lp = shared.value.words(ws, counts)
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("places")), pa.array(counts.sum(axis=1).astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, lp.size + 1, kinds), pa.int32()), pa.array(lp.astype(np.float32).reshape(-1)))],
+                [b.column(b.schema.get_field_index("places")), pa.array(counts.sum(axis=1).astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, lp.size + 1, lp.shape[1]), pa.int32()), pa.array(lp.astype(np.float32).reshape(-1)))],
                 names=["places", "c", "lp"],
             )
 
@@ -280,7 +322,7 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
         m = shared.value
         order = np.argsort(words_["at"].to_numpy())
         c = words_["c"].to_numpy()[order]
-        lp = words_["lp"].combine_chunks().flatten().to_numpy().reshape(-1, kinds)[order].astype(float)
+        lp = words_["lp"].combine_chunks().flatten().to_numpy().reshape(-1, len(m.prior))[order].astype(float)
         base = np.log10((c + 0.5) / (all_tokens + floor))
         end = float(np.log10((end_count + 0.5) / (all_tokens + floor)))
         for row in blocks_.to_pylist():
@@ -289,10 +331,11 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
             at = np.unique(k.hash, return_inverse=True)[1]
             known = np.bincount(k.doc, weights=c[at] > 0, minlength=n).astype(np.int64) + int(end_count > 0)
             total_base = np.bincount(k.doc, weights=base[at], minlength=n) + end
-            by_kind = np.stack([np.bincount(k.doc, weights=lp[at, j], minlength=n) for j in range(kinds)], axis=1) + m.end + m.prior
+            by_kind = np.stack([np.bincount(k.doc, weights=lp[at, j], minlength=n) for j in range(len(m.prior))], axis=1) + m.end + m.prior
             top = by_kind.max(axis=1, keepdims=True)
             marginal = (top[:, 0] + np.log(np.exp(by_kind - top).sum(axis=1))) / np.log(10)
             rows.append(pa.table({"doc_id": pa.array(k.ids, pa.int64()), "held_out": pa.array(k.held), "n_tokens": pa.array(k.n_words + 1), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, all_tokens, np.int64)), "base_score": pa.array(total_base), "score": pa.array(marginal)}))
+        scan.release()
         return pa.concat_tables(rows) if rows else pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

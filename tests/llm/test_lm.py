@@ -103,10 +103,79 @@ def test_long_words_train_like_short_ones(spark, monkeypatch):
     model = lm.Model(p, np.array([6.0, 9]), np.array([1.0, 1]), np.array([0.0, 0]))
     model.logp[1] = np.roll(model.logp[1], 7)
     model.shared = False
-    got = lm.piece_uses(rows, model, 2)
-    want = np.zeros((2, len(p.pieces)))
+    got, spelled = lm.piece_uses(rows, model, 2)
+    want, many = np.zeros((2, len(p.pieces))), np.zeros(2)
     for i, w in enumerate(words):
         m = np.frombuffer(b" " + w, np.uint8)[None]
         for k, c in ((0, 2.0 * i), (1, 3.0)):
-            want[k] += p.expected(m, model.logp[k], np.array([c]))
-    assert np.allclose(got, want) and got[1, p.pieces.index("ばな".encode())] > 1
+            if c:
+                c = model.spelled(k, np.array([c]), p.forward(m, model.logp[k])[:, -1])
+                want[k] += p.expected(m, model.logp[k], c)
+                many[k] += c[0]
+    assert np.allclose(got, want) and np.allclose(spelled, many) and got[1, p.pieces.index("ばな".encode())] > 0
+
+
+def plain(rows, path):
+    """The whole model word by word: rows is (doc_id, lang, text, held out); natural logs throughout."""
+    vocabulary = pieces.load(path)
+    p = lattice.Pieces(list(vocabulary.score), [-vocabulary.score[t][0] for t in vocabulary.score])
+    number = {b: i for i, b in enumerate(p.pieces)}
+
+    def edges(word):
+        return [(b, e, number[word[b:e]]) for e in range(1, len(word) + 1) for b in range(max(0, e - p.longest), e) if word[b:e] in number and (e - b > 1 or word[b:e] == word[b : b + 1])]
+
+    def forward(word, logp):
+        a = [0.0] + [-math.inf] * len(word)
+        for b, e, i in edges(word):
+            a[e] = np.logaddexp(a[e], a[b] + logp[i])
+        return a
+
+    def backward(word, logp):
+        z = [-math.inf] * len(word) + [0.0]
+        for b, e, i in reversed(edges(word)):
+            z[b] = np.logaddexp(z[b], logp[i] + z[e])
+        return z
+
+    langs = sorted({r[1] for r in rows if not r[3]}, key=lambda x: (x is not None, x or ""))
+    counts = {k: Counter(w for _, lang, t, held in rows if lang == k and not held for w in t.lower().encode().split()) for k in langs}
+    docs = {k: sum(lang == k and not held for _, lang, _, held in rows) for k in langs}
+    total = {k: sum(counts[k].values()) + docs[k] for k in langs}
+    whole = {k: max(1 - (sum(c == 1 for c in counts[k].values()) + 1) / total[k], 0) for k in langs}
+    logp = {k: p.start for k in langs}
+    for _ in range(lm.ROUNDS):
+        uses, spelled = {}, {}
+        for k in langs:
+            uses[k], spelled[k] = np.zeros(len(p.pieces)), 0.0
+            for w, c in counts[k].items():
+                word = b" " + w
+                a, z = forward(word, logp[k]), backward(word, logp[k])
+                known, spelt = whole[k] * (c - 1) / (total[k] - 1), (1 - whole[k]) * math.exp(a[-1])
+                c *= spelt / (known + spelt)
+                spelled[k] += c
+                for b, e, i in edges(word):
+                    uses[k][i] += c * math.exp(a[b] + logp[k][i] + z[e] - a[-1])
+        every = sum(uses.values())
+        for k in langs:
+            u = uses[k] + lm.SMOOTH * (every / every.sum() * len(every) + 1) / 2
+            logp[k], whole[k] = np.log(u / u.sum()), 1 - min((spelled[k] + 1) / total[k], 1)
+    out = {}
+    for d, _, t, _ in rows:
+        each = []
+        for k in langs:
+            x = math.log(docs[k] / sum(docs.values())) + math.log(max(whole[k], 1 / total[k]) * docs[k] / total[k])
+            for w in t.lower().encode().split():
+                x += math.log(whole[k] * counts[k][w] / total[k] + (1 - whole[k]) * math.exp(forward(b" " + w, logp[k])[-1]))
+            each.append(x)
+        out[d] = np.logaddexp.reduce(each) / math.log(10)
+    return out
+
+
+def test_score_against_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 90)
+    monkeypatch.setattr(lm, "PLACES", 2)
+    lines = ["the cat sat on the mat", "a dog and the cat", "the end of the day", "und der hund und die katze", "der hund bellt", "die katze", "le chien !!", "weiter und weiter"]
+    rows = [(i, [None, "en", "de"][i % 3] if i % 7 else "de", f"{lines[i % 8]} {lines[(3 * i) % 8]} {'ab' * (i % 5)}", i % 5 == 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string, held_out boolean")
+    want = plain(rows, PATH)
+    got = {r.doc_id: r.score for r in lm.score(df, PATH, Scratch(spark, "t")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-3 * abs(want[d]) for d in want), [(got[d], want[d]) for d in want]
