@@ -9,9 +9,15 @@ The model is a naive Bayes table over hashed trigrams, fitted to a sample of
 labelled rows. Words of a batch of texts are scored together, and the Viterbi
 pass takes one step of all texts at once, so no Python object is made per word.
 
+A text's words are scored for the languages that use one of its scripts only. A
+text too long for that in one piece is gone through in parts: the scores at each
+part's border are kept, and the way back works each part out again.
+
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and no spans; texts are taken whole; equal scores go to the language that sorts
-first; without labelled rows every text is ``und``; further columns stay.
+first; without labelled rows every text is ``und``; with more than
+MOST_LANGUAGES the commonest are learned; further columns stay, but for those with
+the names of new ones.
 """
 
 from __future__ import annotations
@@ -32,12 +38,16 @@ from tessera.runtime import ship, table
 
 #: Labelled rows of each language that the model is fitted to, about: chosen by a hash of doc_id.
 SAMPLE_ROWS = 1500
-#: Languages that a model may hold; its table grows with them.
+#: Languages that a model holds, the commonest; its table has 256 KB for each.
 MOST_LANGUAGES = 500
+#: Scores of words (one for each candidate language) that are held at once, about.
+CELLS = 4 << 20
 #: Buckets of trigrams.
 BUCKETS = 1 << 16
 #: Cost, in nats, of a change of language between two words.
 SWITCH = 8.0
+#: Added to each trigram's count.
+SMOOTH = 0.05
 #: A language uses a script if so many of its letters are in it.
 SCRIPT_SHARE = 0.02
 UND = "und"
@@ -144,10 +154,20 @@ class Model:
         if not self.langs:
             return [UND] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         w = words_of(texts)
-        n = len(w.first)
-        word = np.add.reduceat(self.table[w.trigrams], w.first, axis=0) if n else np.zeros((0, len(self.langs)), np.float32)
-        word += self.scripts[w.script]
-        best = viterbi(word, w.at, switch)
+        # Languages that use a script of these words; the others have no part in them.
+        some = np.flatnonzero((self.scripts[np.unique(w.script)] == 0).any(axis=0))
+        most = max(CELLS // max(len(some), 1), 1)
+        best = np.zeros(len(w.first), np.int16)
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(w.at, w.at[lo] + most, side="right")) - 1)
+            a, b = int(w.at[lo]), int(w.at[hi])
+            if b - a <= most:
+                best[a:b] = viterbi(self._scores(w, a, b, some), w.at[lo : hi + 1] - a, switch)
+            else:
+                best[a:b] = viterbi_long(lambda x, y, a=a: self._scores(w, a + x, a + y, some), b - a, len(some), switch, most)
+            lo = hi
+        best = some[best] if len(some) else best
         for i in range(len(texts)):
             a, b = w.at[i], w.at[i + 1]
             if a == b:
@@ -163,6 +183,19 @@ class Model:
             spans.append([(int(w.start[x]), int(w.end[y - 1]), self.langs[best[x]]) for x, y in zip(cut[:-1], cut[1:], strict=True)])
         return langs, scores, spans
 
+    def _scores(self, w: Words, a: int, b: int, some: np.ndarray) -> np.ndarray:
+        """Scores of the words from a to b for some languages; a part of the trigrams at a time."""
+        out = np.empty((b - a, len(some)), np.float32)
+        table = self.table if len(some) == len(self.langs) else self.table[:, some]
+        edges = np.append(w.first, len(w.trigrams))
+        step = max(CELLS // (8 * max(len(some), 1)), 1)
+        for x in range(a, b, step):
+            y = min(x + step, b)
+            first = edges[x]
+            out[x - a : y - a] = np.add.reduceat(table[w.trigrams[first : edges[y]]], w.first[x:y] - first, axis=0)
+        out += self.scripts[w.script[a:b]][:, some]
+        return out
+
 
 def viterbi(word: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
     """The best language of each word, by text; one step takes the next word of all texts that have one."""
@@ -199,22 +232,55 @@ def viterbi(word: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
     return out
 
 
+def viterbi_long(scores, n: int, k: int, switch: float, part: int) -> np.ndarray:
+    """The best language of each of n words of one text; ``scores`` gives those from one word to another."""
+    begins = list(range(0, n, part))
+    kept = []  # the scores before each part
+    score = np.zeros(k)
+
+    def forward(word, score, first):
+        stays, prev = np.zeros(word.shape, bool), np.zeros(len(word), np.int16)
+        for i, row in enumerate(word):
+            if first and not i:
+                score = row.astype(np.float64)
+                continue
+            top = score.argmax()
+            change = score[top] - switch
+            stays[i] = score >= change
+            prev[i] = top
+            score = np.where(stays[i], score, change) + row
+        return score, stays, prev
+
+    for a in begins:
+        kept.append(score)
+        score = forward(scores(a, min(a + part, n)), score, a == 0)[0]
+    out = np.zeros(n, np.int16)
+    now = int(score.argmax())
+    for a, before in zip(reversed(begins), reversed(kept), strict=True):
+        z = min(a + part, n)
+        _, stays, prev = forward(scores(a, z), before, a == 0)
+        for i in range(z - a - 1, -1, -1):
+            out[a + i] = now
+            if a + i and not stays[i, now]:
+                now = int(prev[i])
+    return out
+
+
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """About ``rows`` rows of each non-null lang, by a hash of doc_id; texts are not shuffled."""
     docs = docs.where("lang is not null and text is not null")
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages; the table is sized for those")
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return docs
     share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, rows / r.n))))
-    return docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 20)) / float(1 << 20) < F.element_at(share, F.col("lang")))
+    return docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 20)) / float(1 << 20) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
 
 
 def fit(docs: DataFrame) -> Model:
     """A model of the columns text and lang; counts are summed by Spark, the driver gets the table."""
     ship(docs.sparkSession)
 
+    @scan.tidied
     def count(batches):
         seen: dict[str, np.ndarray] = {}
         used: dict[str, np.ndarray] = {}
@@ -232,21 +298,27 @@ def fit(docs: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "kind", "at", "n"])
 
     counts = docs.select("lang", "text").mapInArrow(count, "lang string, kind int, at int, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
-    # At most languages * (BUCKETS + scripts) rows.
-    got = counts.toPandas()
-    langs = sorted(got.lang.unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the table is sized for {MOST_LANGUAGES}")
-    grams, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(_NAMES), len(langs)))
-    code = got.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
-    for kind, to in ((0, grams), (1, scripts)):
-        m = (got.kind == kind).to_numpy()
-        to[got["at"].to_numpy(np.int64)[m], code[m]] = got.n.to_numpy(np.int64)[m]
-    smooth = 0.05
-    logs = np.log((grams + smooth) / (grams.sum(axis=0) + smooth * BUCKETS)) if langs else grams
+
+    def row(t: pa.Table) -> pa.Table:
+        """A language's log-probabilities and its letters by script."""
+        kind, at, n = (t[c].to_numpy() for c in ("kind", "at", "n"))
+        grams, letters = np.zeros(BUCKETS), np.zeros(len(_NAMES), np.int64)
+        grams[at[kind == 0]] = n[kind == 0]
+        letters[at[kind == 1]] = n[kind == 1]
+        logs = np.log((grams + SMOOTH) / (grams.sum() + SMOOTH * BUCKETS)).astype(np.float32)
+        return pa.table({"lang": t["lang"].slice(0, 1), "words": pa.array([int(grams.sum())], pa.int64()), "logs": pa.array([logs.tobytes()], pa.binary()), "letters": pa.array([letters.tolist()], pa.list_(pa.int64()))})
+
+    # A row for each language, with the commonest first.
+    got = counts.groupBy("lang").applyInArrow(row, "lang string, words long, logs binary, letters array<long>").orderBy(F.desc("words"), "lang").limit(MOST_LANGUAGES).collect()
+    got.sort(key=lambda r: r.lang)
+    table = np.zeros((BUCKETS, len(got)), np.float32)
+    scripts = np.zeros((len(_NAMES), len(got)))
+    for i, r in enumerate(got):
+        table[:, i] = np.frombuffer(r.logs, np.float32)
+        scripts[:, i] = r.letters
     use = scripts >= SCRIPT_SHARE * scripts.sum(axis=0)
     cost = np.where(use | ~use.any(axis=1, keepdims=True), 0.0, -1e6)
-    return Model(langs, np.ascontiguousarray(logs, np.float32), cost.astype(np.float32))
+    return Model([r.lang for r in got], table, cost.astype(np.float32))
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
@@ -262,7 +334,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
         scores: list = []
         parts: list = []
         texts = utf8(b.column(b.schema.get_field_index(text)))
-        for lo, hi, _, _ in scan.blocks(texts, 2 << 20):
+        for lo, hi, _, _ in scan.blocks(texts):
             with np.errstate(over="ignore"):
                 x, y, z = shared.value.label(texts[lo:hi].to_pylist())
             langs += x

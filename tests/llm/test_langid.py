@@ -43,3 +43,27 @@ def test_spans_scripts_and_defined_results(spark):
     assert got[5].score == 1 and got[1].score == 0 and got[1].spans == []
     none = langid.fit(df.select("lang", "text").limit(0))
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
+
+
+def test_long_texts_in_parts(monkeypatch):
+    rnd = np.random.default_rng(7)
+    word = rnd.normal(size=(500, 4)).astype(np.float32) * 2
+    want = langid.viterbi(word, np.array([0, 500]), 3.0)
+    for part in (1, 7, 499, 500, 900):
+        assert (langid.viterbi_long(lambda a, b: word[a:b], 500, 4, 3.0, part) == want).all()
+
+
+def test_ties_many_languages_and_clashing_columns(spark, monkeypatch):
+    same = [("abc abd", lang) for lang in ("zz", "aa", "mm")] * 2
+    model = langid.fit(spark.createDataFrame(same, "text string, lang string"))
+    got = langid.identify(spark.createDataFrame([("abc", 1, "x")], "text string, SCORE int, lang string"), model)
+    assert got.select("lang_pred", "score", "lang").first()[:] == ("aa", 1.0, "x")
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = [(i, "der hund und die katze", "de") for i in range(9)] + [(i, "the dog and the cat", "en") for i in range(7)] + [(1, "le chien", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(langid.sample(docs)).langs == ["de", "en"]
+    model = langid.fit(docs.where("lang != 'fr'"))
+    texts = [t for _, t, _ in rows] + ["der hund und the cat and the dog " * 40, "", "12"]
+    whole = model.label(texts)
+    monkeypatch.setattr(langid, "CELLS", 64)  # parts of a few words
+    assert model.label(texts) == whole and whole[0][:16] == ["de"] * 9 + ["en"] * 7
