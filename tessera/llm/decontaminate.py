@@ -1,7 +1,7 @@
 """Benchmark passages in documents, by the q-gram lemma and banded alignment.
 
-Texts are compared lower-cased, with every run of other characters than letters
-and digits as one space. A part of a benchmark item counts as a leak from WORDS
+Texts are compared lower-cased (each character whose lower case has as many UTF-8
+bytes), with every run of other ASCII characters than letters and digits as one space. A part of a benchmark item counts as a leak from WORDS
 whole words or LONGEST bytes on, so an item is searched as windows of that size
 from each of its words on, and as wider ones that forgive more edits in one
 place. A window of m characters within e edits shares
@@ -16,13 +16,13 @@ Items of fewer than Q bytes have no q-gram; they are found where they stand
 exactly, between word borders.
 
 Defined results: null and empty texts hold nothing; null items and items without
-a letter or digit are not searched; repeated rows and items are each reported; further columns are
-left alone.
+a letter or digit are not searched; repeated rows and items are each reported; further columns stay.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import scan
 from tessera.llm.scan import U, extend, utf8
-from tessera.runtime import ship, table
+from tessera.runtime import Scratch, ship, table
 
 Q = 10
 WINDOW, STEP = 128, 64
@@ -42,8 +42,8 @@ WORDS, LONGEST = 13, 96
 STRIDE = 16
 #: Edits allowed, as a share of a window's characters.
 EDITS = 0.08
-#: Bytes of benchmark text that go to the workers at once.
-PART = 4 << 20
+#: Bytes of benchmark text that go to the workers at once; an index has some 60 times as many.
+PART = 1 << 19
 _BITS = 22
 
 
@@ -55,15 +55,41 @@ def normalise(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     inner = off[1:-1]
     before[inner[inner < len(buf)]] = False
     at = np.flatnonzero(word | before)
-    low = scan.LOWER[buf]
-    # Capitals of the Latin-1 block: 0xC3, then 0x80 to 0x9E.
-    second = np.zeros(len(buf), bool)
-    second[1:] = buf[:-1] == 0xC3
-    low = np.where(second & (buf >= 0x80) & (buf <= 0x9E), low + 0x20, low)
+    low = _lowered(buf)
     low = np.where(word, low, 0x20).astype(np.uint8)
     return low[at], at, np.searchsorted(at, off)
 
 
+@lru_cache(1)
+def _lower_points() -> np.ndarray:
+    """Of each code point below 0x20000: its lower case, if that is one character of as many UTF-8 bytes, else itself."""
+    out = np.arange(0x20000, dtype=np.uint32)
+    for i in range(0x80, 0x20000):
+        if not 0xD800 <= i < 0xE000:
+            c = chr(i).lower()
+            if len(c) == 1 and ord(c) != i and len(c.encode()) == len(chr(i).encode()):
+                out[i] = ord(c)
+    return out
+
+
+def _lowered(buf: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes in lower case, each character in its place."""
+    out = scan.LOWER[buf]
+    for lead, mask, size in ((0xC0, 0x1F, 2), (0xE0, 0x0F, 3), (0xF0, 0x07, 4)):
+        at = np.flatnonzero((buf & (0xFF ^ mask)) == lead)
+        if not len(at):
+            continue
+        cp = (buf[at] & mask).astype(np.uint32)
+        for k in range(1, size):
+            cp = cp << 6 | buf[at + k] & 0x3F
+        cp = np.where(cp < 0x20000, _lower_points()[np.minimum(cp, 0x1FFFF)], cp)
+        for k in range(size - 1, 0, -1):
+            out[at + k] = 0x80 | cp & 0x3F
+            cp = cp >> 6
+        out[at] = lead | cp
+    return out
+
+
 def grams(b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the Q bytes from each place on."""
     n = len(b) - Q + 1
@@ -368,13 +394,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in whose text no item is found; their columns as they are."""
+def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` in whose text no item is found; their columns as they are. What a part of the benchmark leaves is written before the next."""
     columns = docs.columns
     name = "found"
-    while name in columns:
+    while name.lower() in (c.lower() for c in columns):
         name += "_"
-    for index in item_parts(benchmark):
+    scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
+    for k, index in enumerate(item_parts(benchmark)):
+        docs = scratch.write(docs, f"without {k}") if k else docs
         docs = with_leaks(docs, index, name).where(F.size(name) == 0).select(*columns)
     return docs
 

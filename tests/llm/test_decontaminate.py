@@ -99,3 +99,24 @@ def test_short_items(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 1), (2, 2), (3, 2), (5, 3), (5, 8), (7, 4), (10, 3), (10, 8), (11, 0)}
     assert {r.doc_id: texts[r.doc_id][r.first_byte : r.end_byte] for r in got if r.item_id in (2, 4)} == {2: "pi day", 3: "PI DAY", 7: "nine-char"}
     assert {r.doc_id for r in dc.clean(docs, bench).collect()} == {4, 6, 8, 9}
+
+
+def test_lower_case_of_all_scripts():
+    for t in ("ÀÉÖ Œuvre ŠKODA", "ΟΔΥΣΣΕΙΑ ΆΓΙΟΣ", "МОСКВА Ёж", "ՀԱՅ", "Ａｂ", "ⰀⰁ", "𐐀𐐁", "İK日本"):
+        low = "".join(c.lower() if len(c.lower()) == 1 and len(c.lower().encode()) == len(c.encode()) else c for c in t)
+        assert norm(t) == low.encode()
+
+
+def test_capitals_long_texts_and_parts(spark, monkeypatch):
+    """Items over several parts of the benchmark, whichever part an item is in; passages in capitals of other scripts; a very long text."""
+    items = [(i, f"вот текст номер {'абвгдежзик'[i]} о том как москва и волга встретились у моря {'лмнопрстуф'[i]} и пошли вместе дальше на север") for i in range(8)]
+    rows = [(1, "... " + items[3][1].upper() + "!"), (2, "так и шло " * 400_000 + items[5][1] + " дальше " * 9), (3, "так и шло"), (4, None), (5, items[0][1] + "\n" + items[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as found", "2 as FOUND_")
+    monkeypatch.setattr(dc, "PART", 300)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = list(dc.item_parts(bench, part=300))
+    assert len(whole) > 2
+    found = {(r.doc_id, r.item_id) for index in whole for r in dc.with_leaks(docs, index, "hits", keep=["doc_id"]).selectExpr("doc_id", "inline(hits)").collect() if r.edits == 0}
+    assert found == {(1, 3), (2, 5), (5, 0), (5, 7)}
+    kept = dc.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4]
