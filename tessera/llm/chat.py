@@ -5,7 +5,8 @@ conversations are prefixes of longer ones. Each turn gets the hash of all turns
 up to it: the running exclusive-or of two 64-bit hashes of position, role and
 text. A conversation is a prefix of a longer one if its last hash is the hash of
 an earlier turn there; such ones go by an anti-join. Equal conversations give
-one row with their number. Only then are texts gathered and rendered.
+one row with their number. The hashes are written once, without texts; only the
+texts of what is kept are gathered and rendered.
 
 Hashes are compared after grouping, so a conversation or first turn that a third
 of the log repeats meets its copies as partial aggregates, not as rows.
@@ -23,22 +24,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.runtime import table
+from tessera.runtime import Scratch, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def prefixes(log: DataFrame) -> DataFrame:
-    """(conv_id, role, text, at, p1, p2, last): each turn's place from 1, the hash of all turns to it, and whether it is the last."""
+    """(conv_id, at, last, p1, p2): each turn's place from 1, whether it is the last, and the hash of all turns to it."""
     turns = log.where("conv_id is not null").select("conv_id", "turn", "role", "text").repartition("conv_id").dropDuplicates()
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    turns = turns.withColumn("at", F.row_number().over(order)).withColumn("last", F.lead("conv_id").over(order).isNull())
-
-    def rolling(seed: int) -> Column:
-        turn = F.xxhash64(F.lit(seed), "at", F.col("role").isNull(), "role", F.col("text").isNull(), "text")
-        return F.bit_xor(turn).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-    return turns.select("conv_id", "role", "text", "at", "last", rolling(1).alias("p1"), rolling(2).alias("p2"))
+    said = (F.col("role").isNull(), "role", F.col("text").isNull(), "text")
+    turns = turns.select("conv_id", F.row_number().over(order).alias("at"), F.lead("conv_id").over(order).isNull().alias("last"), *(F.xxhash64(F.lit(k), *said).alias(f"h{k}") for k in (1, 2)))
+    sofar = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return turns.select("conv_id", "at", "last", *(F.bit_xor(F.xxhash64("at", f"h{k}")).over(sofar).alias(f"p{k}") for k in (1, 2)))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
@@ -48,24 +46,23 @@ def maximal(turns: DataFrame) -> DataFrame:
     return ends.join(inner, ["at", "p1", "p2"], "left_anti").select("conv_id", F.col("at").alias("n_turns"), "copies")
 
 
-def rendered(role: str, text: str) -> Column:
+def rendered(role: Column, text: Column) -> Column:
     """One turn; marks inside a text are broken up so that they cannot end it."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return F.concat(F.lit(OPEN), F.replace(F.coalesce(F.col(role), F.lit("")), F.lit("<|"), F.lit("< |")), F.lit("\n"), F.replace(body, F.lit("<|"), F.lit("< |")), F.lit(CLOSE + "\n"))
+    role, body = (F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("< |")) for c in (role, text))
+    return F.concat(F.lit(OPEN), role, F.lit("\n"), body, F.lit(CLOSE + "\n"))
 
 
-def collapse(log: DataFrame) -> DataFrame:
+def collapse(log: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, n_turns, copies, chat): the maximal conversations of a log, rendered."""
-    turns = prefixes(log)
-    keep = maximal(turns)
-    said = turns.join(keep.select("conv_id"), "conv_id", "left_semi").select("conv_id", F.struct("at", rendered("role", "text").alias("said")).alias("t"))
-    chats = said.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["said"]), "").alias("chat"))
-    return chats.join(keep, "conv_id").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "copies", "chat")
+    keep = scratch.write(maximal(scratch.write(prefixes(log), "prefixes")), "kept")
+    said = log.join(keep.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("said"))
+    chat = F.array_join(F.transform("said", lambda t: rendered(t["role"], t["text"])), "")
+    return said.join(keep, "conv_id").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "copies", chat.alias("chat"))
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The maximal conversations of ``conversations``, rendered."""
-    return collapse(table(spark, sf_dir, "conversations"))
+    return collapse(table(spark, sf_dir, "conversations"), Scratch(spark, "op2"))
 
 
 ORACLE = """

@@ -5,6 +5,7 @@ import random
 import duckdb
 
 from tessera.llm import chat
+from tessera.runtime import Scratch
 
 
 def brute(rows):
@@ -31,9 +32,9 @@ def test_random_logs(spark):
             rows.append((c if rnd.random() < 0.99 else None, t, ["user", "assistant"][t % 2], text))
     rows += rows[:20] + [(500, None, None, None), (501, 0, "", ""), (502, 3, "user", "x"), (502, 3, "user", "y"), (503, 3, "user", "x" * 100_000)]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, at int, p1 string")
-    got = {r.conv_id: (r.n_turns, r.copies, r.chat) for r in chat.collapse(df).collect()}
+    got = {r.conv_id: (r.n_turns, r.copies, r.chat) for r in chat.collapse(df, Scratch(spark, "t")).collect()}
     assert got == brute(rows)
-    assert chat.collapse(df.limit(0)).count() == 0
+    assert chat.collapse(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
 def test_query_is_the_sql(spark, sf):
