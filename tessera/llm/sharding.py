@@ -161,17 +161,20 @@ def _combine(loads: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
 def with_slots(rows: DataFrame, scratch: Scratch, by: str = "shard") -> DataFrame:
     """``rows`` with the column slot, 0, 1, 2 ... within each value of ``by``.
 
-    Rows of a shard are numbered in chunks chosen by hash; each chunk begins
-    where those before it end, so no shard is numbered in one task.
+    Rows of a shard are numbered in chunks, each of which begins where those
+    before it end, so no shard is numbered in one task. Rows are dealt to chunks
+    by where they stand, not by what they hold, so copies spread as well; for that
+    they are written once.
     """
+    rows = scratch.write(rows.withColumn("_at", F.monotonically_increasing_id()), "placed")
     chunks = max(1, -(-rows.count() // CHUNK)) * 4
-    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "key", F.lit(5)), F.lit(chunks)).cast("int"))
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64("_at", F.lit(5)), F.lit(chunks)).cast("int"))
     sizes = rows.groupBy(by, "_chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     begins = sizes.select(by, "_chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_begin"))
-    number = Window.partitionBy(by, "_chunk").orderBy("doc_id", "key")
+    number = Window.partitionBy(by, "_chunk").orderBy("doc_id", "key", "_at")
     rows = rows.withColumn("_row", F.row_number().over(number))
-    return rows.join(begins, [by, "_chunk"]).withColumn("slot", F.col("_begin") + F.col("_row") - 1).drop("_chunk", "_begin", "_row")
+    return rows.join(begins, [by, "_chunk"]).withColumn("slot", F.col("_begin") + F.col("_row") - 1).drop("_at", "_chunk", "_begin", "_row")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +188,5 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.sha2(text, 256), F.lit("null")).alias("key"),
     )
     rows = scratch.write(rows, "rows")
-    placed = scratch.write(rows.join(byte_shards(rows, 24, scratch), "key"), "placed")
-    out = with_slots(placed, scratch)
+    out = with_slots(rows.join(byte_shards(rows, 24, scratch), "key"), scratch)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
