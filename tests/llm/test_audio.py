@@ -40,6 +40,27 @@ def test_a_tone_keeps_its_pitch():
     assert abs(int(mel.mean(axis=0).argmax()) - int(bank[round(1000 * audio.FFT / 8000)].argmax())) <= 1
 
 
+def test_log_mel_by_its_formula():
+    """Frame by frame and frequency by frequency: mean taken off, Hann window, discrete Fourier transform, triangles on the mel scale, log."""
+    x = np.random.default_rng(3).normal(size=1500).astype(np.float32)
+    rate, n, hop, size, mels = audio.TARGET, audio.FRAME, audio.HOP, audio.FFT, audio.MELS
+    low, high = (2595 * np.log10(1 + f / 700) for f in (20.0, rate / 2))
+    corners = [700 * (10 ** ((low + (high - low) * i / (mels + 1)) / 2595) - 1) for i in range(mels + 2)]
+    got, power = audio.log_mel(x, rate)
+    starts = range(0, len(x) - n + 1, hop)
+    assert got.shape == (len(starts), mels)
+    for row, at in enumerate(starts):
+        frame = x[at : at + n].astype(float)
+        frame -= frame.mean()
+        assert abs(power[row] - np.log((frame**2).mean())) < 1e-3
+        shaped = frame * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1)))
+        energy = [abs(sum(shaped * np.exp(-2j * np.pi * k * np.arange(n) / size))) ** 2 for k in range(size // 2 + 1)]
+        for m in range(mels):
+            a, b, c = corners[m : m + 3]
+            total = sum(e * max(0.0, min((f - a) / (b - a), (c - f) / (c - b))) for k, e in enumerate(energy) for f in [k * rate / size])
+            assert abs(got[row, m] - np.log(max(total, 1e-6))) < 1e-3
+
+
 def test_hysteresis():
     p = np.array([0, 0, 0.3, 0.6, 0.3, 0.3, 0.1, 0.4, 0.1, 0.7, 0.6] + [0] * 9)
     assert audio.voiced(p, 0.5, 0.2) == [(3, 6), (9, 11)]
