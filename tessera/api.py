@@ -28,16 +28,21 @@ class State:
 def share(requests: DataFrame, manifests: DataFrame, state: State, driver: embed.Driver, as_of: int, ttl_s: int = 0, cap: int = memory.PIPE_CAP, begin: int = 0) -> State:
     """Chunks of the allowed requests, embedded once for each text that is not cached, added to their pipes.
 
-    Hits keep their cached vector and its time; misses are embedded, normalised by
-    the driver, and cached. ``begin`` is the first free seq.
+    Misses are embedded, brought to unit length, and cached; hits, also those of
+    an earlier request of the batch, take the vector that is cached. ``begin`` is
+    the first free seq.
     """
     allowed = catalog.allowed(requests, catalog.registry(manifests), "pipe", "source_app", "target_pipe")
     probed = memory.write_order(memory.probe(memory.share_chunks(allowed), state.cache, driver.name, as_of, ttl_s), begin)
     fresh = embed.embed(probed.where("not is_hit"), driver, "text", "vector")
-    rows = probed.join(fresh, "text", "left").select("pipe", "seq", "text", F.coalesce("cached", "vector").alias("vector"), "source_app", F.lit(as_of).cast("long").alias("ts_s"), "is_hit")
-    new = rows.where("not is_hit").groupBy("text").agg(F.max_by("vector", "seq").alias("vector"), F.max("seq").alias("seq"))
-    new = new.select(F.lit(driver.name).alias("model"), F.col("text").alias("text_key"), "vector", F.lit(as_of).cast("long").alias("ts_s"), "seq")
-    return State(memory.append(state.chunks, rows.drop("is_hit"), cap), memory.upsert(state.cache, new))
+    rows = probed.join(fresh.withColumn("vector", memory.unit(F.col("vector"))), "text", "left").withColumn("cached", F.coalesce("cached", "vector"))
+    _, cache = memory.write_chunks(state.chunks, state.cache, rows.where("not is_hit"), driver.name, as_of, cap)
+    return State(memory.write_cached(state.chunks, rows, as_of, cap), cache)
+
+
+def cache_only(texts: DataFrame, state: State, driver: embed.Driver, as_of: int) -> State:
+    """Vectors of texts (seq, text) that are cached and put in no pipe."""
+    return State(state.chunks, memory.cache_only(state.cache, embed.with_vectors(texts, driver), driver.name, as_of))
 
 
 def search(state: State, driver: embed.Driver, query: str, pipe: str, k: int = memory.TOP_K, filter_app: str | None = None, as_of: int | None = None) -> DataFrame:
@@ -51,14 +56,16 @@ def sweep(state: State, as_of: int, cache_ttl_s: int, pipe_ttl_s: int) -> State:
 
 
 def secure(prompts: DataFrame, text: str = "prompt") -> DataFrame:
-    """``prompts`` with blocked and safe_prompt; the tag of each row is made once."""
+    """``prompts`` with blocked, reason and safe_prompt; the tag of each row is made once."""
     tagged = prompts.withColumn("_tag", firewall.random_tag())
-    return tagged.withColumn("blocked", firewall.is_injection(F.col(text))).withColumn("safe_prompt", firewall.secured(F.col(text), F.col("_tag"))).drop("_tag")
+    return tagged.withColumn("blocked", firewall.is_injection(F.col(text))).withColumn("reason", firewall.reason(F.col(text))).withColumn("safe_prompt", firewall.secured(F.col(text), F.col("_tag"))).drop("_tag")
 
 
 deliver, poll = messages.deliver, messages.poll
 admit = admission.admit
 lease, switches = schedule.queue, schedule.switches
 agents_view, manifests_view = catalog.agents_view, catalog.manifests_view
+share_requests, search_requests = files.share_requests, files.search_requests
+stream_tokens = messages.stream_tokens
 read_manifests, read_config, local_models = files.read_manifests, files.read_config, files.local_models
 page_in, page_out, clear_history = files.page_in, files.page_out, files.clear_page

@@ -21,7 +21,10 @@ def effective_overlap(size: Column, overlap: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, WHITE), lambda w: w != "")
+    """What stands between white space; none for blank texts. Only the first and the last part can be empty."""
+    parts = F.split(text, WHITE)
+    first, last = (F.when(F.get(parts, i) == "", 1).otherwise(0) for i in (F.lit(0), F.size(parts) - 1))
+    return F.slice(parts, first + 1, F.greatest(F.size(parts) - first - last, F.lit(0)))
 
 
 def windows_of(w: Column, size: Column, overlap: Column) -> Column:

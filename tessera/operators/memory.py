@@ -17,8 +17,6 @@ PIPE_CAP = 10_000
 TOP_K = 5
 #: Queries that are broadcast to the chunks; more are joined by blocks.
 QUERY_BLOCK = 4096
-#: Request ids that are numbered in one task.
-REQUEST_SPAN = 100_000
 
 
 def in_pipe(chunks: DataFrame, pipe: str, source: str | None = None) -> DataFrame:
@@ -40,9 +38,9 @@ def top_k(scores: DataFrame, k: int = TOP_K, tie: str = "seq") -> DataFrame:
     return scores.orderBy(F.desc("score"), F.asc(tie)).limit(k)
 
 
-def search(chunks: DataFrame, query: list[float], pipe: str, k: int = TOP_K, filter_app: str | None = None, as_of: int | None = None) -> DataFrame:
+def search(chunks: DataFrame, query: list[float] | Column, pipe: str, k: int = TOP_K, filter_app: str | None = None, as_of: int | None = None) -> DataFrame:
     """(text, score, source_app, timestamp) of the k chunks of a pipe nearest to the query."""
-    q = F.array(*(F.lit(float(x)) for x in query))
+    q = query if isinstance(query, Column) else F.array(*(F.lit(float(x)) for x in query))
     best = top_k(scored(in_pipe(chunks, pipe, filter_app), q, as_of), k)
     return best.select("text", "score", "source_app", F.col("ts_s").alias("timestamp"))
 
@@ -81,9 +79,17 @@ def share_chunks(requests: DataFrame) -> DataFrame:
 
 
 def probe(chunks: DataFrame, cache: DataFrame, model: str, as_of: int, ttl_s: int) -> DataFrame:
-    """``chunks`` with is_hit and the cached vector, by one left join on model and text."""
+    """``chunks`` with is_hit and the cached vector.
+
+    A chunk is a hit if its text is in the cache, or if an earlier request of the
+    batch has it: requests run in order of request_id, each is probed before it
+    is written, and what it writes is in the cache for those after it. Then
+    ``cached`` is null, and the vector is the one embedded for that request.
+    """
     live = cache.where((F.col("model") == model) & fresh(F.col("ts_s"), as_of, ttl_s)).select(F.col("text_key").alias("text"), F.col("vector").alias("cached"))
-    return chunks.join(live, "text", "left").withColumn("is_hit", F.col("cached").isNotNull())
+    first = chunks.groupBy("text").agg(F.min("request_id").alias("_first")).join(live, "text", "left")
+    out = chunks.join(first, "text").withColumn("is_hit", F.col("cached").isNotNull() | (F.col("request_id") > F.col("_first")))
+    return out.drop("_first")
 
 
 def fresh(ts: Column, as_of: int, ttl_s: int) -> Column:
@@ -94,13 +100,38 @@ def fresh(ts: Column, as_of: int, ttl_s: int) -> Column:
 def write_order(probed: DataFrame, begin: int = 0) -> DataFrame:
     """seq of new chunks: of each request, in order of request, first the misses and then the hits, by position."""
     size = probed.groupBy("request_id").agg(F.count("*").alias("n"))
-    upto = with_running(size, F.floor(F.col("request_id") / REQUEST_SPAN), ["request_id"], {"upto": ("sum", F.col("n"))})
+    upto = with_running(size, ["request_id"], {"upto": ("sum", F.col("n"))})
     first = upto.select("request_id", (F.col("upto") - F.col("n")).alias("first"))
     order = Window.partitionBy("request_id").orderBy("is_hit", "pos")
     out = probed.withColumn("rn", F.row_number().over(order)).join(first, "request_id")
     return out.withColumn("seq", F.col("first") + F.col("rn") + (begin - 1)).drop("first", "rn")
 
 
+def unit(vector: Column) -> Column:
+    """A vector as it is stored: of unit length, or zero."""
+    return vectors.l2_normalize(vector).cast("array<float>")
+
+
+def write_chunks(chunks: DataFrame, cache: DataFrame, new: DataFrame, model: str, as_of: int, cap: int = PIPE_CAP) -> tuple[DataFrame, DataFrame]:
+    """Chunks and cache after new vectors (pipe, seq, text, vector, source_app) are written to both, of unit length. Duplicates stay in a pipe; of a text the last is cached."""
+    rows = new.select("pipe", "seq", "text", unit(F.col("vector")).alias("vector"), "source_app", F.lit(as_of).cast("long").alias("ts_s"))
+    last = rows.groupBy("text").agg(F.max_by("vector", "seq").alias("vector"), F.max("seq").alias("seq"))
+    entries = last.select(F.lit(model).alias("model"), F.col("text").alias("text_key"), "vector", F.lit(as_of).cast("long").alias("ts_s"), "seq")
+    return append(chunks, rows, cap), upsert(cache, entries)
+
+
+def write_cached(chunks: DataFrame, hits: DataFrame, as_of: int, cap: int = PIPE_CAP) -> DataFrame:
+    """The pipes with hits (pipe, seq, text, cached, source_app): vectors as they are in the cache, which stays untouched, and the time of writing."""
+    rows = hits.select("pipe", "seq", "text", F.col("cached").alias("vector"), "source_app", F.lit(as_of).cast("long").alias("ts_s"))
+    return append(chunks, rows, cap)
+
+
+def cache_only(cache: DataFrame, texts: DataFrame, model: str, as_of: int) -> DataFrame:
+    """The cache with vectors (seq, text, vector) that go to no pipe; of unit length, so that a later hit may go to one."""
+    rows = texts.select(F.lit(model).alias("model"), F.col("text").alias("text_key"), unit(F.col("vector")).alias("vector"), F.lit(as_of).cast("long").alias("ts_s"), "seq")
+    return upsert(cache, rows)
+
+
 def append(chunks: DataFrame, new: DataFrame, cap: int = PIPE_CAP) -> DataFrame:
     """The pipes with new chunks, each pipe cut to its newest ``cap``. Duplicates stay."""
     return ring(chunks.unionByName(new), cap)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Aliases and the assets behind them.
 ASSETS = [
@@ -29,9 +31,11 @@ STOP_NAMES = {"llama": ["<|eot_id|>", "<|end_of_text|>", "</s>"], "qwen2": ["<|i
 LLAMA2 = ("<s>[INST] <<SYS>>\nYou are a helpful AI.\n<</SYS>>\n\n", " [/INST]")
 LLAMA3 = ("<|start_header_id|>system<|end_header_id|>\n\nYou are a helpful AI.<|eot_id|><|start_header_id|>user<|end_header_id|>\n\n", "<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n")
 QWEN = ("<|im_start|>system\nYou are a helpful AI assistant.<|im_end|>\n<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n")
-# How texts are split before merges; the numbers are the longest run of digits.
-PRE_SPLIT = r"(?:'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD])|[^\r\n\p{{L}}\p{{N}}]?\p{{L}}+|\p{{N}}{digits}| ?[^\s\p{{L}}\p{{N}}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
-DIGITS = {"qwen2": "", "llama3": "{1,3}"}
+# How texts are split before merges.
+QWEN2_SPLIT = r"(?:'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD])|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+LLAMA3_SPLIT = r"(?:'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD])|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPLITS = {"qwen2": QWEN2_SPLIT, "llama3": LLAMA3_SPLIT, "smaug-bpe": LLAMA3_SPLIT, "lfm2": LLAMA3_SPLIT}
 
 
 def assets(spark: SparkSession) -> DataFrame:
@@ -105,9 +109,24 @@ def merge_pair(merge: Column) -> Column:
     return F.struct(F.get(parts, F.lit(0)).alias("left"), F.get(parts, F.lit(1)).alias("right"))
 
 
+def nfc(text: Column) -> Column:
+    """Texts in Unicode's composed form, which no built-in function gives."""
+
+    def composed(texts: pd.Series) -> pd.Series:
+        from unicodedata import is_normalized, normalize
+
+        return texts.map(lambda t: t if t is None or t.isascii() or is_normalized("NFC", t) else normalize("NFC", t))
+
+    return F.pandas_udf(composed, StringType())(text)
+
+
 def pre_split(text: Column, kind: str) -> Column:
-    """The pieces of a text that merges stay within."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + PRE_SPLIT.format(digits=DIGITS[kind])), F.lit(0))
+    """The pieces of a text that merges stay within; a kind without rules of its own splits at the byte level, after a space in front."""
+    if kind == "qwen2":
+        text = nfc(text)
+    elif kind not in SPLITS:
+        text = F.when(F.startswith(text, F.lit(" ")) | (text == ""), text).otherwise(F.concat(F.lit(" "), text))
+    return F.regexp_extract_all(text, F.lit("(?U)" + SPLITS.get(kind, BYTE_LEVEL_SPLIT)), F.lit(0))
 
 
 def folder_name(name: Column) -> Column:

@@ -1,8 +1,10 @@
 """Running values over one global order, without one task that sees all rows.
 
-Rows fall into buckets of the order (spans of time). A running value within a
-bucket is a window partitioned by bucket; what came before a bucket is a running
-value over the buckets' summaries, a row each, and is joined back.
+Rows are cut into ranges of the order, of about equal numbers of rows whatever
+the values are (Spark samples them), and written with the range's number. A
+running value within a range is a window partitioned by it; what came before a
+range is a running value over the ranges' summaries, a row each, and is joined
+back.
 """
 
 from __future__ import annotations
@@ -10,14 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import Scratch
 
-def with_running(df: DataFrame, bucket: Column, order: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
+
+def with_running(df: DataFrame, order: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
     """``df`` with a column for each of ``values``: name -> (kind, column).
 
     kind is 'sum' or 'max' (up to and including the row; null for none yet) or
-    'lag' (the row before). Buckets must rise with the order.
+    'lag' (the row before). ``order`` names columns that tell all rows apart.
     """
-    df = df.withColumn("_b", bucket)
+    ranged = df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id())
+    df = Scratch(df.sparkSession, "ordered").write(ranged, "ranges")
     here = Window.partitionBy("_b").orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts, sums, before = [], [], []

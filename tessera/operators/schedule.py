@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ordered import with_running
 
-#: Requests of one span of time are ordered in one task.
-SPAN_S = 3600
-
 
 def switches(requests: DataFrame, arrival: str = "arrival", tie: str = "req_id", model: str = "model") -> DataFrame:
     """``requests`` with outcome (cold, hot, switch) and active_users, the place within a run of one model.
@@ -17,11 +14,10 @@ def switches(requests: DataFrame, arrival: str = "arrival", tie: str = "req_id",
     Users of a run are never given back before it ends. ``arrival`` is a timestamp.
     """
     order = [arrival, tie]
-    bucket = F.floor(F.unix_seconds(F.col(arrival).cast("timestamp")) / SPAN_S)
-    out = with_running(requests, bucket, order, {"prev_model": ("lag", F.col(model)), "position": ("sum", F.lit(1))})
+    out = with_running(requests, order, {"prev_model": ("lag", F.col(model)), "position": ("sum", F.lit(1))})
     new = F.col("prev_model").isNull() | (F.col("prev_model") != F.col(model))
     out = out.withColumn("_new", F.when(new, F.col("position")))
-    out = with_running(out, bucket, order, {"run_start": ("max", F.col("_new"))})
+    out = with_running(out, order, {"run_start": ("max", F.col("_new"))})
     outcome = F.when(F.col("prev_model").isNull(), "cold").when(F.col("prev_model") == F.col(model), "hot").otherwise("switch")
     return out.withColumn("outcome", outcome).withColumn("active_users", F.col("position") - F.col("run_start") + 1).drop("_new", "run_start", "position")
 
@@ -33,10 +29,9 @@ def queue(requests: DataFrame, arrival: str = "arrival", tie: str = "req_id", du
     arrival less the durations before it, so no fold is needed.
     """
     at = F.unix_micros(F.col(arrival).cast("timestamp"))
-    bucket = F.floor(at / (SPAN_S * 1_000_000))
     order = [arrival, tie]
-    out = with_running(requests, bucket, order, {"_sum": ("sum", F.col(duration))})
-    out = with_running(out, bucket, order, {"_wait": ("max", at - (F.col("_sum") - F.col(duration)))})
+    out = with_running(requests, order, {"_sum": ("sum", F.col(duration))})
+    out = with_running(out, order, {"_wait": ("max", at - (F.col("_sum") - F.col(duration)))})
     finish = F.col("_sum") + F.col("_wait")
     return out.withColumn("start_us", finish - F.col(duration)).withColumn("finish_us", finish).drop("_sum", "_wait")
 

@@ -26,9 +26,10 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("pipe"), F.col("vec_id").alias("seq"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"), F.col("embedding").alias("vector"), F.concat(F.lit("app"), (F.col("vec_id") % 3).cast("string")).alias("source_app"), F.expr(f"{AS_OF} - {AGE}").alias("ts_s"))
 
 
-def _query_vector(spark: SparkSession, d: str) -> list[float]:
-    """The vector of vec_id 0, the query of the single searches."""
-    return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 0").first().embedding]
+def _asked(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    """``chunks`` with qv, the vector of vec_id 0, the query of the single searches: one row, broadcast. Without it there is nothing to find."""
+    q = table(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("qv")).limit(1)
+    return chunks.crossJoin(F.broadcast(q))
 
 
 CHUNKS_SQL = f"""c AS (SELECT 'p' || label AS pipe, vec_id AS seq, 'text ' || vec_id AS text, embedding::DOUBLE[] AS vector, 'app' || (vec_id % 3) AS source_app, {AS_OF} - {AGE} AS ts_s FROM embeddings),
@@ -44,25 +45,25 @@ def _shown(df: DataFrame) -> DataFrame:
 @query(f"WITH {CHUNKS_SQL} SELECT text, round({DOT}, 6) AS score, source_app, ts_s AS timestamp FROM c, q WHERE pipe = 'p3' ORDER BY {DOT} DESC, seq LIMIT 10")
 def search_topk(spark, d):
     """Exact top-k of one pipe, without age."""
-    return _shown(memory.search(_chunks(spark, d), _query_vector(spark, d), "p3", 10))
+    return _shown(memory.search(_asked(spark, d, _chunks(spark, d)), F.col("qv"), "p3", 10))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT text, round({DOT} * {DECAY}, 6) AS score, source_app, ts_s AS timestamp FROM c, q WHERE pipe = 'p3' ORDER BY {DOT} * {DECAY} DESC, seq LIMIT 10")
 def search_topk_decay(spark, d):
     """Exact top-k of one pipe, weighted by age."""
-    return _shown(memory.search(_chunks(spark, d), _query_vector(spark, d), "p3", 10, as_of=AS_OF))
+    return _shown(memory.search(_asked(spark, d, _chunks(spark, d)), F.col("qv"), "p3", 10, as_of=AS_OF))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT text, round({DOT} * {DECAY}, 6) AS score, source_app, ts_s AS timestamp FROM c, q WHERE pipe = 'p3' AND source_app = 'app1' ORDER BY {DOT} * {DECAY} DESC, seq LIMIT 5")
 def search_filtered(spark, d):
     """The same of one source; the filter comes before the limit."""
-    return _shown(memory.search(_chunks(spark, d), _query_vector(spark, d), "p3", filter_app="app1", as_of=AS_OF))
+    return _shown(memory.search(_asked(spark, d, _chunks(spark, d)), F.col("qv"), "p3", filter_app="app1", as_of=AS_OF))
 
 
 @query("SELECT 'x' AS text, 0.0::DOUBLE AS score, 'x' AS source_app, 0::BIGINT AS timestamp WHERE false")
 def search_unknown_pipe(spark, d):
     """An unknown pipe is empty, not an error."""
-    return _shown(memory.search(_chunks(spark, d), _query_vector(spark, d), "none", as_of=AS_OF))
+    return _shown(memory.search(_asked(spark, d, _chunks(spark, d)), F.col("qv"), "none", as_of=AS_OF))
 
 
 @query(f"""WITH {CHUNKS_SQL}, s AS (SELECT a.vec_id AS query_id, c.seq, list_dot_product(c.vector, a.embedding::DOUBLE[]) * {DECAY} AS score FROM embeddings AS a, c WHERE a.vec_id % 50 = 0),
@@ -76,8 +77,7 @@ def search_batch(spark, d):
 
 @query(f"WITH {CHUNKS_SQL} SELECT seq, round({DOT}, 6) AS score FROM c, q")
 def dot_product(spark, d):
-    q = F.array(*map(F.lit, _query_vector(spark, d)))
-    return _chunks(spark, d).select("seq", F.round(vectors.dot(F.col("vector"), q), 6).alias("score"))
+    return _asked(spark, d, _chunks(spark, d)).select("seq", F.round(vectors.dot(F.col("vector"), F.col("qv")), 6).alias("score"))
 
 
 @query("SELECT vec_id, 0.0::DOUBLE AS score FROM embeddings")
@@ -97,12 +97,32 @@ def l2_normalize(spark, d):
 
 
 @query("""WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS v, unnest(range(64)) AS dim FROM embeddings) SELECT label, dim::INTEGER AS dim, round(avg(v), 6) AS mean FROM x GROUP BY label, dim""")
-def mean_pool(spark, d):
+def mean_by_label(spark, d):
     """Mean vectors by label, as partial sums of (label, dimension)."""
     x = table(spark, d, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "v"))
     return x.groupBy("label", "dim").agg(F.round(F.avg("v"), 6).alias("mean"))
 
 
+@query("""WITH t AS (SELECT vec_id, vec_id // 8 AS text_id, (vec_id % 8 <= vec_id // 8 % 9 - 1)::INTEGER AS mask, embedding::DOUBLE[] AS v FROM embeddings),
+x AS (SELECT text_id, mask, unnest(v) AS v, unnest(range(64)) AS dim FROM t) SELECT text_id, dim::INTEGER AS dim, round(sum(v * mask) / greatest(sum(mask), 1e-9), 6) + 0.0::DOUBLE AS mean FROM x GROUP BY text_id, dim""")
+def mean_pool(spark, d):
+    """Eight vectors as the tokens of a text, of which a mask lets none to all through."""
+    e = table(spark, d, "embeddings").withColumn("text_id", F.expr("vec_id div 8")).withColumn("mask", F.expr("int(vec_id % 8 <= text_id % 9 - 1)"))
+    texts = e.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding", "mask"))).alias("t"))
+    pooled = texts.select("text_id", vectors.mean_pool(F.col("t.embedding"), F.col("t.mask"), 64).alias("p"))
+    return pooled.select("text_id", F.posexplode("p").alias("dim", "mean")).select("text_id", "dim", (F.round("mean", 6) + 0.0).alias("mean"))
+
+
+@query("""WITH n AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id % 3)) AS v FROM embeddings), s AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM n)
+SELECT vec_id, CASE WHEN l = 0 THEN NULL ELSE round(v[1] / l, 6) + 0.0::DOUBLE END AS first, l = 0 AS undefined FROM s""")
+def norm_without_floor(spark, d):
+    """Unit vectors without a floor: a zero vector has no direction."""
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * (F.col("vec_id") % 3))
+    e = table(spark, d, "embeddings").select("vec_id", vectors.l2_normalize(v, None).alias("n"))
+    first = F.get("n", F.lit(0))
+    return e.select("vec_id", F.when(~F.isnan(first), F.round(first, 6) + 0.0).alias("first"), F.isnan(first).alias("undefined"))
+
+
 WORDS = "list_filter(regexp_split_to_array(text, '" + chunking.WHITE + "'), lambda x: x <> '')"
 
 
@@ -175,6 +195,13 @@ def secure_prompt(spark, d):
     return _said(spark, d).select("doc_id", firewall.secured(F.col("said"), firewall.seeded_tag(F.col("doc_id"))).alias("prompt"))
 
 
+@query(f"WITH s AS (SELECT doc_id, {SAID} AS said FROM documents), b AS (SELECT doc_id, ({' OR '.join(f'({v})' for v in FLAGS_SQL.values())}) AS blocked FROM s) SELECT doc_id, blocked, CASE WHEN blocked THEN '{firewall.RULE}' END AS reason FROM b")
+def rejection(spark, d):
+    """Whether a prompt is rejected, and why."""
+    said = F.col("said")
+    return _said(spark, d).select("doc_id", firewall.is_injection(said).alias("blocked"), firewall.reason(said).alias("reason"))
+
+
 @query("SELECT doc_id, replace(text, '_', ' ') AS prompt FROM documents")
 def ask_prompt(spark, d):
     return table(spark, d, "documents").select("doc_id", F.replace(F.col("text"), F.lit("_"), F.lit(" ")).alias("prompt"))
@@ -227,23 +254,89 @@ def _cache(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
 
 
 SHARE_SQL = f"""ch AS ({_chunk_sql(100, 20)}), h AS (SELECT d.doc_id AS request_id, d.source AS source_app, 'kb_' || d.lang AS pipe, ch.pos, ch.chunk AS text,
-length(ch.chunk) % 2 = 0 AND greatest(length(ch.chunk) % 100 * 3600, 0) < 86400 AS is_hit FROM ch JOIN documents AS d USING (doc_id))"""
+length(ch.chunk) % 2 = 0 AND greatest(length(ch.chunk) % 100 * 3600, 0) < 86400 AS cached, cached OR d.doc_id > min(d.doc_id) OVER (PARTITION BY ch.chunk) AS is_hit FROM ch JOIN documents AS d USING (doc_id))"""
+
+
+def _probed(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of all documents, cut once, against the cache."""
+    chunks = Scratch(spark, "share").write(memory.share_chunks(_requests(spark, d)), "chunks")
+    return memory.probe(chunks, _cache(spark, d, chunks), "m", AS_OF, 86_400)
 
 
 @query(f"WITH {SHARE_SQL} SELECT pipe, count(*) AS chunks, count(*) FILTER (WHERE is_hit) AS hits FROM h GROUP BY pipe")
 def cache_probe(spark, d):
-    """Chunks of all documents against the cache: hits and misses of each pipe."""
-    chunks = memory.share_chunks(_requests(spark, d))
-    found = memory.probe(chunks, _cache(spark, d, chunks), "m", AS_OF, 86_400)
+    """Chunks of all documents against the cache and against what earlier requests write: hits and misses of each pipe."""
+    found = _probed(spark, d)
     return found.groupBy("pipe").agg(F.count("*").alias("chunks"), F.count_if("is_hit").alias("hits"))
 
 
 @query(f"WITH {SHARE_SQL} SELECT request_id, pos, is_hit, row_number() OVER (ORDER BY request_id, is_hit, pos) - 1 AS seq FROM h")
 def share_write_order(spark, d):
     """Of each request first the misses, then the hits."""
-    chunks = memory.share_chunks(_requests(spark, d))
-    found = memory.write_order(memory.probe(chunks, _cache(spark, d, chunks), "m", AS_OF, 86_400))
-    return found.select("request_id", "pos", "is_hit", "seq")
+    return memory.write_order(_probed(spark, d)).select("request_id", "pos", "is_hit", "seq")
+
+
+@query(f"""WITH {SHARE_SQL}, o AS (SELECT request_id, pipe, text, cached, is_hit, row_number() OVER (ORDER BY request_id, is_hit, pos) - 1 AS seq FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY pipe ORDER BY seq DESC) AS age FROM o) SELECT pipe, seq, request_id, is_hit, is_hit AND NOT cached AS of_the_batch FROM r WHERE age <= 1000""")
+def share_batch_order(spark, d):
+    """What a batch leaves in the pipes: an earlier request's chunks are hits for later ones and are written after their misses."""
+    found = memory.write_order(_probed(spark, d)).select("pipe", "seq", "request_id", "is_hit", (F.col("is_hit") & F.col("cached").isNull()).alias("of_the_batch"))
+    return memory.ring(found, CAP)
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 5 = 0 AS blank FROM documents) SELECT count(*) FILTER (WHERE NOT blank) AS requests_with_chunks, count(*) FILTER (WHERE blank) AS blank_requests FROM d""")
+def blank_requests(spark, d):
+    """Blank texts give no chunk and reach neither cache nor driver."""
+    text = F.when(F.col("request_id") % 5 == 0, F.lit(" \t\n ")).otherwise(F.lit("some words"))
+    r = _requests(spark, d).withColumn("knowledge_text", text)
+    with_chunks = memory.share_chunks(r).select("request_id").distinct().withColumn("has", F.lit(True))
+    return r.join(with_chunks, "request_id", "left").agg(F.count("has").alias("requests_with_chunks"), F.count_if(F.col("has").isNull()).alias("blank_requests"))
+
+
+# Writing: embeddings, scaled so that none is of unit length, as what a driver gives.
+def _given(spark: SparkSession, d: str) -> DataFrame:
+    v = F.transform(F.col("vector").cast("array<double>"), lambda x: x * (F.col("seq") % 4))
+    return _chunks(spark, d).withColumn("vector", v).withColumn("text", F.concat(F.lit("text "), (F.col("seq") % 100).cast("string")))
+
+
+UNIT_SQL = f"""{CHUNKS_SQL}, g AS (SELECT pipe, seq, 'text ' || (seq % 100) AS text, list_transform(vector, lambda x: x * (seq % 4)) AS v, source_app, ts_s FROM c),
+n AS (SELECT pipe, seq, text, source_app, ts_s, v, greatest(sqrt(list_dot_product(v, v)), 1e-9) AS l FROM g)"""
+
+
+@query(f"""WITH {UNIT_SQL}, o AS (SELECT pipe, seq, text, ts_s, v[1] AS first, 1 AS old FROM n WHERE seq % 2 = 0 UNION ALL SELECT pipe, seq, text, {AS_OF}, v[1] / l, 0 FROM n WHERE seq % 2 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY pipe ORDER BY seq DESC) AS age FROM o), k AS (SELECT text, max(seq) AS seq FROM n WHERE seq % 2 = 1 GROUP BY text)
+SELECT r.pipe, r.seq, r.ts_s, round(r.first, 5) + 0.0::DOUBLE AS first, k.seq IS NOT NULL AS is_cached FROM r LEFT JOIN k ON k.text = r.text AND k.seq = r.seq WHERE age <= 40""")
+def share_normalise(spark, d):
+    """Vectors of any length written to pipes and cache: both get unit vectors, the cache the last of each text."""
+    g = _given(spark, d)
+    none = g.limit(0).select(F.lit("m").alias("model"), F.col("text").alias("text_key"), F.col("vector").cast("array<float>").alias("vector"), "ts_s", "seq")
+    chunks, cache = memory.write_chunks(g.where("seq % 2 = 0").select("pipe", "seq", "text", F.col("vector").cast("array<float>").alias("vector"), "source_app", "ts_s"), none, g.where("seq % 2 = 1"), "m", AS_OF, 40)
+    marked = chunks.join(cache.select("seq", F.col("text_key").alias("text"), F.col("vector").alias("kept")), ["seq", "text"], "left")
+    return marked.select("pipe", "seq", "ts_s", (F.round(F.get("vector", F.lit(0)).cast("double"), 5) + 0.0).alias("first"), F.coalesce(F.col("kept") == F.col("vector"), F.lit(False)).alias("is_cached"))
+
+
+def _cached_texts(spark: SparkSession, d: str) -> DataFrame:
+    g = _given(spark, d).where("seq < 300")
+    none = g.limit(0).select(F.lit("m").alias("model"), F.col("text").alias("text_key"), F.col("vector").cast("array<float>").alias("vector"), "ts_s", "seq")
+    return memory.cache_only(none, g, "m", AS_OF)
+
+
+@query(f"WITH {UNIT_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY seq DESC) AS n FROM (SELECT * FROM n WHERE seq < 300)) SELECT 'm' AS model, text AS text_key, {AS_OF}::BIGINT AS ts_s, seq, round(v[1] / l, 5) + 0.0::DOUBLE AS first FROM k WHERE n = 1")
+def cache_only(spark, d):
+    """Vectors that are cached and put in no pipe, of unit length too."""
+    return _cached_texts(spark, d).select("model", "text_key", "ts_s", "seq", (F.round(F.get("vector", F.lit(0)).cast("double"), 5) + 0.0).alias("first"))
+
+
+@query(f"""WITH {UNIT_SQL}, k AS (SELECT text, arg_max(v[1] / l, seq) AS first FROM n WHERE seq < 300 GROUP BY text), w AS (SELECT n.pipe, n.seq + 1000000 AS seq, n.text, {AS_OF}::BIGINT AS ts_s, k.first FROM n JOIN k USING (text) WHERE n.seq >= 300),
+u AS (SELECT pipe, seq, text, ts_s, v[1] AS first FROM n WHERE seq < 300 UNION ALL SELECT * FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY pipe ORDER BY seq DESC) AS age FROM u)
+SELECT pipe, seq, text, ts_s, round(first, 5) + 0.0::DOUBLE AS first FROM r WHERE age <= 40""")
+def cached_append(spark, d):
+    """Hits written to pipes with the cached vector and the time of writing; the cache stays as it was."""
+    g = _given(spark, d)
+    cache = _cached_texts(spark, d).select(F.col("text_key").alias("text"), F.col("vector").alias("cached"))
+    hits = g.where("seq >= 300").select("pipe", (F.col("seq") + 1_000_000).alias("seq"), "text", "source_app").join(cache, "text")
+    old = g.where("seq < 300").select("pipe", "seq", "text", F.col("vector").cast("array<float>").alias("vector"), "source_app", "ts_s")
+    return memory.write_cached(old, hits, AS_OF, 40).select("pipe", "seq", "text", "ts_s", (F.round(F.get("vector", F.lit(0)).cast("double"), 5) + 0.0).alias("first"))
 
 
 @query(f"""WITH q AS (SELECT event_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS nth, user_id % 20 AS r FROM events) SELECT 'agent' || r AS to_app, event_id AS seq, nth FROM q WHERE nth <= 5""")
@@ -463,11 +556,33 @@ def embedder_route(spark, d):
     return fx.frame(spark, fx.CONFIGS, "id int, config string").select("id", models.embedder(F.col("config")).alias("embedder"))
 
 
-@query("SELECT * FROM (VALUES (1, '5,6'), (2, ''), (3, '1,2,3'), (4, ''), (5, '9')) AS t(id, kept)")
+# The characters of a text as token ids; 101 and 110 stand for two of the vocabulary's stop tokens.
+@query("""WITH t AS (SELECT doc_id, list_transform(list_filter(string_split(substr(text, doc_id % 40 + 1, 60), ''), lambda c: c <> ''), lambda c: CASE WHEN c = 'w' AND doc_id % 3 = 0 THEN 128001 ELSE unicode(c) END) AS tokens FROM documents),
+s AS (SELECT doc_id, tokens, list_filter(range(1, len(tokens) + 1), lambda i: list_contains([128001, 128009, 101, 110], tokens[i])) AS hits FROM t)
+SELECT doc_id, coalesce(array_to_string(CASE WHEN len(hits) = 0 THEN tokens ELSE tokens[1:hits[1] - 1] END, ','), '') AS kept FROM s""")
 def stop_truncate(spark, d):
-    vocabulary = F.create_map(F.lit("<|eot_id|>"), F.lit(128009), F.lit("</s>"), F.lit(77))
-    t = fx.frame(spark, fx.TOKENS, "id int, tokens array<int>")
-    return t.select("id", F.array_join(models.until_stop(F.col("tokens"), models.stop_tokens("llama", vocabulary)).cast("array<string>"), ",").alias("kept"))
+    """Tokens before the first stop token, which is one by its id or by its name in the vocabulary."""
+    vocabulary = F.create_map(F.lit("<|eot_id|>"), F.lit(101), F.lit("</s>"), F.lit(110))
+    part = F.filter(F.split(F.expr("substr(text, int(doc_id % 40) + 1, 60)"), ""), lambda c: c != "")
+    ids = F.transform(part, lambda c: F.when((c == "w") & (F.col("doc_id") % 3 == 0), 128001).otherwise(F.expr("int(0)") + F.ascii(c)))
+    t = table(spark, d, "documents").select("doc_id", ids.alias("tokens"))
+    return t.select("doc_id", F.array_join(models.until_stop(F.col("tokens"), models.stop_tokens("llama", vocabulary)).cast("array<string>"), ",").alias("kept"))
+
+
+@query(f"{NAMES_SQL} SELECT id, arch AS generator FROM n WHERE arch IN ('llama', 'qwen2')")
+def generator_route(spark, d):
+    """The generator of each known architecture; any other is an error."""
+    n = _names(spark).where(F.col("arch").isin("llama", "qwen2"))
+    return n.select("id", models.generator(F.col("arch")).alias("generator"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token, unnest(range(len(string_split(text, ' ')))) AS i FROM documents), e AS (SELECT doc_id, min(i) AS stop FROM t WHERE token IN ('de', 'the') GROUP BY doc_id)
+SELECT t.doc_id, count(*) AS sent, max(i)::INTEGER AS last FROM t LEFT JOIN e USING (doc_id) WHERE stop IS NULL OR i < stop GROUP BY t.doc_id HAVING count(*) <= 8192""")
+def token_stream(spark, d):
+    """The tokens of each reply that go to its reader: up to the first stop token."""
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "token"))
+    sent = messages.replies(t, ["de", "the"], "doc_id").groupBy("doc_id").agg(F.count("*").alias("sent"), F.max("i").alias("last"))
+    return sent
 
 
 @query("WITH t AS (SELECT doc_id, list_transform(range(n_chars % 9), lambda i: i % 7) AS types FROM documents) SELECT doc_id, array_to_string(list_filter(range(len(types)), lambda i: types[i + 1] BETWEEN 2 AND 5), ',') AS special FROM t")
@@ -527,7 +642,7 @@ SELECT text, round({DOT} * {DECAY}, 6) AS score, source_app, ts_s AS timestamp F
 def search_after_sweep(spark, d):
     """Search shows what the last sweep, ten hours ago, has left, even if it has expired since."""
     kept = memory.sweep(_chunks(spark, d), AS_OF - 36_000, 100_000)
-    return _shown(memory.search(kept, _query_vector(spark, d), "p3", as_of=AS_OF))
+    return _shown(memory.search(_asked(spark, d, kept), F.col("qv"), "p3", as_of=AS_OF))
 
 
 @query("SELECT conv_id::VARCHAR AS app_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos, role, text AS content FROM conversations")
@@ -540,12 +655,89 @@ def page_out_in(spark, d):
     return back.select("app_id", F.posexplode("history").alias("pos", "t")).select("app_id", "pos", "t.role", "t.content")
 
 
+@query("SELECT conv_id::VARCHAR AS app_id, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE count(*) END AS turns FROM conversations GROUP BY conv_id")
+def page_emptied(spark, d):
+    """Pages of which a third is written again, empty."""
+    folder = Scratch(spark, "pages").root
+    h = history.fold(table(spark, d, "conversations").withColumn("app_id", F.col("conv_id").cast("string")), content="text")
+    files.page_out(h, folder)
+    none = F.array().cast(h.schema["history"].dataType)
+    files.page_out(h.where("int(app_id) % 3 = 0").select("app_id", none.alias("history")), folder)
+    return files.page_in(spark, h.select("app_id"), folder).select("app_id", F.size("history").cast("long").alias("turns"))
+
+
+@query("SELECT min(conv_id)::VARCHAR AS app_id, 0::BIGINT AS turns FROM conversations UNION ALL SELECT conv_id::VARCHAR, count(*) FROM conversations GROUP BY conv_id HAVING conv_id <> (SELECT min(conv_id) FROM conversations)")
+def page_cleared(spark, d):
+    """Pages of which one is removed, twice."""
+    folder = Scratch(spark, "pages").root
+    h = history.fold(table(spark, d, "conversations").withColumn("app_id", F.col("conv_id").cast("string")), content="text")
+    files.page_out(h, folder)
+    first = table(spark, d, "conversations").agg(F.min("conv_id").cast("string").alias("a")).first().a
+    for _ in range(2):
+        files.clear_page(spark, folder, first)
+    return files.page_in(spark, h.select("app_id"), folder).select("app_id", F.size("history").cast("long").alias("turns"))
+
+
+def _put_files(spark: SparkSession, folder: str, texts: dict[str, str]) -> str:
+    """Small files in a folder that all can read."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, text in texts.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = path.getFileSystem(conf).create(path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return folder
+
+
+@query(f"WITH {fx.MANIFESTS_SQL} SELECT app_id, version, max_tokens_per_minute::BIGINT AS max_tokens_per_minute, max_chat_history_messages::BIGINT AS max_chat_history_messages, len(allowed_models)::INTEGER AS models FROM m")
+def manifest_scan(spark, d):
+    """Manifests read from a folder of TOML files."""
+    folder = _put_files(spark, Scratch(spark, "manifests").root, {f"{m['app_id']}.toml": files.to_toml(m) for m in fx.MANIFESTS})
+    m = files.read_manifests(spark, folder)
+    return m.select("app_id", "version", "resources.max_tokens_per_minute", "memory_limits.max_chat_history_messages", F.size("resources.allowed_models").alias("models"))
+
+
+@query("SELECT 'native' AS engine, 'all-minilm' AS embedder, 24::BIGINT AS cache_ttl_hours, 32::BIGINT AS pipe_ttl_hours")
+def config_scan(spark, d):
+    """The configuration from its file; the embedder has a default."""
+    text = '[system]\nengine = "native"\n[memory]\ncache_ttl_hours = 24\npipe_ttl_hours = 32\n'
+    c = files.read_config(spark, _put_files(spark, Scratch(spark, "config").root, {"c.toml": text}) + "/c.toml")
+    return spark.createDataFrame([(c.engine, c.embedder, c.cache_ttl_hours, c.pipe_ttl_hours)], "engine string, embedder string, cache_ttl_hours long, pipe_ttl_hours long")
+
+
+@query("SELECT * FROM (VALUES ('llama3.2:1b', 5::BIGINT, true), ('empty', 0::BIGINT, false)) AS t(name, size_bytes, has_model)")
+def model_folders(spark, d):
+    """The models of a folder, by file status."""
+    folder = _put_files(spark, Scratch(spark, "models").root, {"llama3.2-1b/model.gguf": "12345", "empty/readme": "x"})
+    return files.local_models(spark, folder).select("name", "size_bytes", (F.col("modified_at") != "UNKNOWN").alias("has_model"))
+
+
+@query("""SELECT doc_id AS request_id, source AS source_app, 'kb_' || lang AS target_pipe, text AS knowledge_text, (CASE WHEN doc_id % 2 = 0 THEN 50 END)::INTEGER AS chunk_size, NULL::INTEGER AS chunk_overlap,
+CASE WHEN doc_id % 3 = 0 THEN 'exact_match' END AS chunk_strategy FROM documents""")
+def share_ingest(spark, d):
+    """Share requests as JSON lines, read by their schema; an unknown key is ignored."""
+    s = table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.col("source").alias("source_app"), F.concat(F.lit("kb_"), F.col("lang")).alias("target_pipe"), F.col("text").alias("knowledge_text"), F.expr("CASE WHEN doc_id % 2 = 0 THEN 50 END").alias("chunk_size"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'exact_match' END").alias("chunk_strategy"), F.lit("x").alias("unknown"))
+    return files.share_requests(spark, s.select(F.to_json(F.struct("*")).alias("value")))
+
+
 @query(None)
 def pre_split(spark, d):
     """Pieces of every document that merges stay within; DuckDB's regex has no look-ahead."""
     return table(spark, d, "documents").select("doc_id", models.pre_split(F.col("text"), "qwen2").alias("pieces"))
 
 
+@query(None)
+def pre_split_llama3(spark, d):
+    """The same with up to three digits a piece."""
+    return table(spark, d, "documents").select("doc_id", models.pre_split(F.col("text"), "llama3").alias("pieces"))
+
+
+@query(None)
+def pre_split_default(spark, d):
+    """The same at the byte level, for kinds without rules of their own."""
+    return table(spark, d, "documents").select("doc_id", models.pre_split(F.col("text"), "gpt-2").alias("pieces"))
+
+
 @query("SELECT doc_id, array_to_string(list_transform(range(n_chars % 5), lambda i: CASE WHEN (n_chars + i) % 2 = 1 THEN '0' ELSE '-10000' END), ',') AS bias FROM documents")
 def attention_bias(spark, d):
     n = (F.col("n_chars") % 5).cast("int")
@@ -557,8 +749,7 @@ def attention_bias(spark, d):
 def share_then_search(spark, d):
     """Documents shared into pipes, embedded once for each distinct text, and searched with benchmark items."""
     driver = embed.HashEmbedder()
-    chunks = memory.share_chunks(_requests(spark, d))
-    stored = memory.write_order(memory.probe(chunks, _cache(spark, d, chunks), "m", AS_OF, 86_400))
+    stored = memory.write_order(_probed(spark, d))
     stored = embed.with_vectors(stored.select("pipe", "seq", "text", "source_app"), driver)
     q = embed.with_vectors(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), driver).select("query_id", F.col("vector").alias("query_vector"))
     found = memory.search_batch(stored.withColumn("ts_s", F.lit(AS_OF).cast("long")), q, 3, AS_OF)

@@ -17,6 +17,8 @@ MESSAGES = _of(from_app=StringType(), to_app=StringType(), payload=StringType(),
 REQUESTS = _of(app_id=StringType(), ts=TimestampType(), req_id=LongType(), cost=IntegerType())
 SHARE_REQUEST = _of(request_id=LongType(), source_app=StringType(), target_pipe=StringType(), knowledge_text=StringType(), chunk_size=IntegerType(), chunk_overlap=IntegerType(), chunk_strategy=StringType())
 SEARCH_REQUEST = _of(source_app=StringType(), target_pipe=StringType(), query=StringType(), filter_app=StringType(), top_k=IntegerType())
+SEND_REQUEST = _of(from_app=StringType(), to_app=StringType(), payload=StringType())
+RUN_REQUEST = _of(model=StringType(), prompt=StringType())
 TURN = _of(role=StringType(), content=StringType())
 HISTORY = _of(app_id=StringType(), history=ArrayType(TURN))
 MANIFEST = _of(

@@ -8,7 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.schemas import HISTORY, MANIFEST, TURN
+from tessera.schemas import HISTORY, MANIFEST, RUN_REQUEST, SEARCH_REQUEST, SEND_REQUEST, SHARE_REQUEST, TURN
+
+#: Keys without which a request is an error, and the strategies that a share request may name.
+MANDATORY = {"source_app", "target_pipe", "knowledge_text", "query", "from_app", "to_app", "payload", "model", "prompt"}
+STRATEGIES = ("sliding_window", "sentence_aware", "paragraph", "exact_match")
 
 # What a missing section stands for; fields without a default here must be in a section that is present.
 SECTIONS = {
@@ -112,8 +116,14 @@ def read_config(spark: SparkSession, path: str) -> Config:
 
 
 def page_out(history: DataFrame, folder: str) -> None:
-    """Writes each application's whole history, replacing what it had and no other's."""
-    turns = history.select("app_id", F.posexplode("history").alias("turn", "t")).select("app_id", "turn", "t.role", "t.content")
+    """Writes each application's whole history as one file of its folder, replacing what it had and no other's.
+
+    Every page begins with a line of turn -1 that is no turn, so that an empty
+    history, too, takes the place of an old page.
+    """
+    head = F.array(F.struct(F.lit(-1).alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("content")))
+    body = F.transform(F.coalesce("history", F.array().cast(HISTORY["history"].dataType)), lambda t, i: F.struct(i.alias("turn"), t["role"].alias("role"), t["content"].alias("content")))
+    turns = history.select("app_id", F.inline(F.concat(head, body))).repartition("app_id")
     turns.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("app_id").json(folder)
 
 
@@ -128,7 +138,7 @@ def page_in(spark: SparkSession, apps: DataFrame, folder: str) -> DataFrame:
     # A corrupt line makes the whole page unreadable.
     listed = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
     good = turns.groupBy("app_id").agg(listed.alias("l"), F.count("_bad").alias("bad")).where("bad = 0")
-    good = good.select("app_id", F.transform("l", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("history"))
+    good = good.select("app_id", F.transform(F.filter("l", lambda t: t["turn"] >= 0), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("history"))
     return apps.join(good, "app_id", "left").select("app_id", F.coalesce("history", none).alias("history"))
 
 
@@ -146,6 +156,39 @@ def clear_page(spark: SparkSession, folder: str, app_id: str) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def _requests(spark: SparkSession, lines: DataFrame, schema) -> DataFrame:
+    """JSON lines (column value) as rows of a fixed schema; unknown keys are ignored, a line that is no object, or lacks a key that must be there, is an error when it is read."""
+    parsed = lines.select("value", F.from_json("value", schema).alias("r"))
+    must = [f.name for f in schema if f.name in MANDATORY]
+    given = F.col("r").isNotNull()
+    for name in must:
+        given = given & F.col(f"r.{name}").isNotNull()
+    checked = F.when(given, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("not a request: "), F.substring(F.coalesce("value", F.lit("null")), 1, 80))))
+    return parsed.select(checked.alias("r")).select("r.*")
+
+
+def share_requests(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Share requests from JSON lines; an unknown strategy is an error."""
+    rows = _requests(spark, lines, SHARE_REQUEST)
+    known = F.col("chunk_strategy").isNull() | F.col("chunk_strategy").isin(*STRATEGIES)
+    return rows.withColumn("chunk_strategy", F.when(known, F.col("chunk_strategy")).otherwise(F.raise_error(F.concat(F.lit("unknown chunk_strategy: "), F.col("chunk_strategy")))))
+
+
+def search_requests(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Search requests from JSON lines."""
+    return _requests(spark, lines, SEARCH_REQUEST)
+
+
+def send_requests(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Messages from JSON lines."""
+    return _requests(spark, lines, SEND_REQUEST)
+
+
+def run_requests(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Prompts for a model from JSON lines."""
+    return _requests(spark, lines, RUN_REQUEST)
+
+
 def local_models(spark: SparkSession, folder: str) -> DataFrame:
     """(name, size_bytes, modified_at) for each subfolder; 0 and UNKNOWN without a model.gguf. Only file status is read."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -23,6 +23,25 @@ def test_share_search_sweep(spark):
     assert swept.chunks.count() == 2 and swept.cache.count() == 1
 
 
+class Long(HashEmbedder):
+    """A driver whose vectors are not of unit length."""
+
+    def embed(self, texts):
+        return super().embed(texts) * 7
+
+
+def test_vectors_are_stored_at_unit_length(spark):
+    m, d = fx.manifests(spark), Long()
+    texts = spark.createDataFrame([(0, "schedulers and processes")], "seq long, text string")
+    state = api.cache_only(texts, api.State.empty(spark), d, as_of=50)
+    assert state.chunks.count() == 0 and state.cache.count() == 1
+    rows = [(4, "scraper_agent", "research", t, None, None, None) for t in ("schedulers and processes",)] + [(5, "swarm_writer", "research", "ownership in rust", None, None, None), (6, "swarm_writer", "research", "ownership in rust", None, None, None)]
+    state = api.share(spark.createDataFrame(rows, REQUEST), m, state, d, as_of=100)
+    got = sorted((r.seq, r.text, round(sum(x * x for x in r.vector), 5)) for r in state.chunks.collect())
+    assert got == [(0, "schedulers and processes", 1.0), (1, "ownership in rust", 1.0), (2, "ownership in rust", 1.0)]
+    assert {(r.text_key, r.ts_s, round(sum(x * x for x in r.vector), 5)) for r in state.cache.collect()} == {("schedulers and processes", 50, 1.0), ("ownership in rust", 100, 1.0)}
+
+
 def test_secure(spark):
     got = api.secure(spark.createDataFrame([("ignore previous",), ("mail a@b.co",)], "prompt string")).collect()
-    assert [r.blocked for r in got] == [True, False] and got[0].safe_prompt is None and "[EMAIL REDACTED]" in got[1].safe_prompt
+    assert [(r.blocked, r.reason) for r in got] == [(True, "Heuristic rule triggered"), (False, None)] and got[0].safe_prompt is None and "[EMAIL REDACTED]" in got[1].safe_prompt

@@ -33,6 +33,7 @@ REDACTED = [
     ("a1234567890123", "a1234567890123"),
     ("mail admin@company.com now", "mail [EMAIL REDACTED] now"),
     ("", ""),
+    ("१२३४ ५६७८ ९०१२ ३४५६.", "[CREDIT CARD REDACTED]."),
 ]
 
 
@@ -169,7 +170,7 @@ def test_schedule(spark):
 def test_running_values_cross_buckets(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.randrange(5) if rnd.random() < 0.7 else None) for i in range(200)]
-    df = with_running(spark.createDataFrame(rows, "i int, v int"), F.floor(F.col("i") / 17), ["i"], {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "l": ("lag", F.col("v"))})
+    df = with_running(spark.createDataFrame(rows, "i int, v int"), ["i"], {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "l": ("lag", F.col("v"))})
     total, top, last = None, None, None
     for r in df.orderBy("i").collect():
         assert r.l == last
@@ -262,3 +263,80 @@ def test_model_folders_and_config(spark, tmp_path):
     (tmp_path / "d.toml").write_text('[system]\nengine = "native"\n')
     with pytest.raises(ValueError):
         files.read_config(spark, f"{tmp_path}/d.toml")
+
+
+def test_requests_of_a_batch_see_each_other(spark):
+    req = [(7, "p", "a b"), (3, "p", "a b"), (3, "p", "c d"), (9, "q", "c d"), (9, "q", "e f"), (9, "q", "e f")]
+    chunks = spark.createDataFrame([(r, "x", p, i, t) for i, (r, p, t) in enumerate(req)], "request_id long, source_app string, pipe string, pos int, text string")
+    cache = spark.createDataFrame([("m", "e f", [1.0], 0)], "model string, text_key string, vector array<float>, ts_s long")
+    seen, want = {"e f"}, {}
+    for r in sorted({r for r, *_ in req}):  # one request after another, each probed before it is written
+        mine = [(i, t) for i, (x, _, t) in enumerate(req) if x == r]
+        want |= {i: t in seen for i, t in mine}
+        seen |= {t for _, t in mine}
+    got = memory.write_order(memory.probe(chunks, cache, "m", 10, 0)).orderBy("seq").collect()
+    assert {r.pos: r.is_hit for r in got} == want
+    assert [r.request_id for r in got] == [3, 3, 7, 9, 9, 9] and [r.is_hit for r in got] == [False, False, True, True, True, True]
+    none = memory.write_order(memory.probe(chunks.limit(0), cache, "m", 10, 0))
+    assert none.count() == 0
+
+
+def test_blank_and_odd_white_space(spark):
+    texts = ["", " ", "\u3000\u2028", " a", "a ", "\u00a0a\u1680b\u0085", "a\u200bb", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(chunking.words(F.col("t"))).collect()
+    assert [r[0] for r in got] == [[], [], [], ["a"], ["a"], ["a", "b"], ["a\u200bb"], None]
+
+
+def test_stretches_of_a_hot_key(spark):
+    """One key with pauses: many stretches, the same decisions as one by one."""
+    rnd = random.Random(5)
+    rows, t = [], 0
+    for i in range(2000):
+        t += rnd.choice([0, 1_000_000, 9_000_000, 60_000_000, 60_000_001, 200_000_000])
+        rows.append(("hot", t, i, rnd.choice([500, 1500])))
+    df = spark.createDataFrame(rows, "app_id string, us long, req_id long, cost int").select("app_id", F.timestamp_micros("us").alias("ts"), "req_id", "cost")
+    got = {r.req_id: r.admitted for r in admission.admit(df, 2500).collect()}
+    budget = admission.Budget()
+    assert got == {i: budget.admit(at, cost, 2500) for _, at, i, cost in rows}
+    assert admission.admit(df.limit(0), 2500).count() == 0
+
+
+def test_json_requests(spark):
+    def lines(*texts):
+        return spark.createDataFrame([(t,) for t in texts], "value string")
+
+    got = files.share_requests(spark, lines('{"source_app": "a", "target_pipe": "p", "knowledge_text": "t", "chunk_size": 5, "more": 1}')).first()
+    assert (got.source_app, got.chunk_size, got.chunk_overlap, got.chunk_strategy) == ("a", 5, None, None)
+    assert files.search_requests(spark, lines('{"source_app": "a", "target_pipe": "p", "query": "q", "top_k": 2}')).first().top_k == 2
+    assert files.send_requests(spark, lines('{"from_app": "a", "to_app": "b", "payload": "x"}')).first().payload == "x"
+    assert files.run_requests(spark, lines('{"model": "m", "prompt": "x"}')).first().prompt == "x"
+    for bad in ('{"source_app": "a"}', "[1]", "{", '{"source_app": "a", "target_pipe": "p", "knowledge_text": "t", "chunk_strategy": "other"}'):
+        with pytest.raises(Exception, match="not a request|unknown chunk_strategy"):
+            files.share_requests(spark, lines(bad)).collect()
+
+
+def test_pre_split_against_a_tokenizer_library(spark):
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    texts = ["Don't stop 1234567!\n ok", "  two  spaces \t\n\n x", "", " ", "e\u0301tude CAN'T we'll", "日本語 text１２３ ٣٤", "a\r\nb  ", "x_y--z ... ?!\n\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for kind in ("qwen2", "llama3", "smaug-bpe", "lfm2", "gpt-2"):
+        rule = models.SPLITS.get(kind, models.BYTE_LEVEL_SPLIT)
+        split = pre_tokenizers.Split(Regex(rule), "isolated")
+        got = {r.i: r[1] for r in df.select("i", models.pre_split(F.col("t"), kind)).collect()}
+        for i, t in enumerate(texts):
+            if kind == "qwen2":
+                t = normalizers.NFC().normalize_str(t)
+            elif kind == "gpt-2" and t and t[0] != " ":
+                t = " " + t
+            assert got[i] == [x for x, _ in split.pre_tokenize_str(t)], (kind, t)
+
+
+def test_token_stream(spark):
+    t = spark.createDataFrame([(i, f"w{i} ") for i in range(50)], "i int, token string").repartition(5)
+    assert "".join(messages.stream_tokens(t)) == "".join(f"w{i} " for i in range(50))
+    assert list(messages.stream_tokens(t, most=3)) == ["w0 ", "w1 ", "w2 "]
+    early = messages.stream_tokens(t)
+    assert next(early) == "w0 " and early.close() is None
+    sent = messages.replies(t.withColumn("reply_id", F.col("i") % 2), ["w7 "], most=9)
+    assert sorted(r.i for r in sent.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 14, 16]
