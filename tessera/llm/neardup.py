@@ -14,10 +14,11 @@ compared exactly, but not with all others: with shingles in order of how many of
 these classes have them, the rarest first, two classes can only be linked if they
 share one of the first n - need + 1 (need: the share of n that a link asks for).
 So each such shingle has a list of classes, mostly none or one: classes that share
-no more than boilerplate never meet. Lists, too, are compared with a pivot first.
-A list that even then holds several components is cut into blocks, and two
-blocks of bounded size are compared in one task, which gives only links that join
-components, so no table of candidate pairs is made.
+no more than boilerplate never meet. Lists, too, are compared with a few pivots
+first, which are then done with. A list that even without them holds several
+components is cut into blocks, and two blocks of bounded size are compared in one
+task, which gives only links that join components, so no table of candidate pairs
+is made.
 
 Defined results: null, empty and blank texts have no shingles and are linked
 with nothing; rows that share a doc_id count as one document; rows with a null
@@ -46,6 +47,8 @@ BANDS, ROWS = 56, 6
 UNIVERSE = 1 << 20
 #: Classes and shingles in a block of a list, about.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
+#: Sets of a list that are compared with all others of the list before it is cut into blocks.
+PIVOTS = 64
 #: Ids of candidates that are broadcast to the texts, 8 bytes each.
 SENT_IDS = 2_000_000
 
@@ -132,7 +135,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _lists(sets: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(token, sid, rep, root): for each shingle, the sets (sid, rep, shingles) that have it among their first; of several roots."""
+    """(token, sid, n, rep, root): for each shingle, the sets (sid, rep, shingles) that have it among their first; of several roots."""
     least = F.expr(f"({percent} * n + 99) div 100")
     words = sets.select("sid", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     # A table of its own, so that the join below is between two shuffles and a common shingle's side can be split.
@@ -140,7 +143,7 @@ def _lists(sets: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) ->
     own = Window.partitionBy("sid")
     # Shingles that no other set has come first, so of the others the first (those shared) - need + 1 count.
     first = words.join(often, "token").select("sid", "token", "n", F.row_number().over(own.orderBy("often", "token")).alias("r"), F.count("*").over(own).alias("shared"))
-    first = first.where(F.col("r") <= F.col("shared") - least + 1).select("sid", "token")
+    first = first.where(F.col("r") <= F.col("shared") - least + 1).select("sid", "token", "n")
     first = scratch.write(first.join(sets.select("sid", "rep").join(roots, "rep"), "sid"), "first")
     # Lists of the same sets are one list: they are told by two hashes over their sets.
     kinds = first.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "sid")).alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -148,15 +151,69 @@ def _lists(sets: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) ->
     return scratch.write(first.join(kinds, "token", "left_semi"), "members")
 
 
+def _met(lists: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of sets of different roots that the pivots of a list make, each once; and the lists without their pivots.
+
+    A list's pivots are its first PIVOTS sets by a hash, the same sets in many lists.
+    """
+    first = Window.partitionBy("token").orderBy(F.xxhash64("sid", F.lit(8)), "sid")
+    pivots = scratch.write(lists.withColumn("r", F.row_number().over(first)).where(F.col("r") <= PIVOTS).select("token", F.col("sid").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot")), "pivots")
+    met = lists.join(pivots, "token").where("root != proot").where(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+    rest = lists.join(pivots.select("token", F.col("p").alias("sid")), ["token", "sid"], "left_anti")
+    return met.select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct(), rest
+
+
+def _compared_in_groups(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(u, v): the pairs (a, b) whose sets (sid, shingles) are linked.
+
+    Pairs that hang together make a group, which is cut into blocks of bounded
+    size; a task compares the pairs between two blocks, so a set is copied once
+    for each block with which it has a pair, and never more often than it has pairs.
+    """
+    of = components(pairs.toDF("u", "v"), scratch).toDF("sid", "grp")
+    nodes = of.join(sets.select("sid", F.size("shingles").cast("long").alias("n")), "sid")
+    size = nodes.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    nodes = nodes.join(scratch.write(size, "blocks"), "grp").select("sid", "grp", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int").alias("own"))
+    nodes = scratch.write(nodes, "nodes")
+    e = pairs.join(nodes.toDF("a", "grp", "x"), "a").join(nodes.select(F.col("sid").alias("b"), F.col("own").alias("y")), "b")
+    e = scratch.write(e.select("grp", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"), "compared")
+    copies = scratch.write(e.select("grp", "i", "j", F.explode(F.array("a", "b")).alias("sid")).distinct(), "copies")
+    rows = copies.join(sets.select("sid", "shingles"), "sid")
+
+    def run(edges: pa.Table, held: pa.Table) -> pa.Table:
+        column = held["shingles"].combine_chunks()
+        off = column.offsets.to_numpy()
+        flat, off = column.flatten().to_numpy(), off - off[0]
+        at = {s: k for k, s in enumerate(held["sid"].to_pylist())}
+        a, b = edges["a"].to_numpy(), edges["b"].to_numpy()
+        order = np.argsort(a, kind="stable")
+        out = []
+        for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+            if not len(part):
+                continue
+            x = at[int(a[part[0]])]
+            s = np.sort(flat[off[x] : off[x + 1]])
+            others = [at[int(y)] for y in b[part]]
+            n = np.array([off[y + 1] - off[y] for y in others])
+            tokens = np.concatenate([flat[off[y] : off[y + 1]] for y in others])
+            hit = s[np.minimum(np.searchsorted(s, tokens), len(s) - 1)] == tokens
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+            out.append(part[100 * both >= percent * (len(s) + n - both)])
+        chosen = np.concatenate([np.zeros(0, np.int64), *out])
+        scan.release()
+        return pa.table({"u": pa.array(a[chosen]), "v": pa.array(b[chosen])})
+
+    return e.groupBy("grp", "i", "j").cogroup(rows.groupBy("grp", "i", "j")).applyInArrow(run, "u long, v long")
+
+
 def _blocks(lists: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(u, v): links between classes of different roots that share a list; at least one chain of links wherever there is a link.
 
-    ``lists`` is (token, sid, rep, root). A list is cut by hash into blocks of
+    ``lists`` is (token, sid, n, rep, root). A list is cut by hash into blocks of
     bounded size, and each pair of its blocks is one task's group.
     """
-    rows = lists.join(sets.select("sid", F.size("shingles").cast("long").alias("n")), "sid")
-    size = rows.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = rows.join(scratch.write(size, "blocks"), "token")
+    size = lists.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = lists.join(scratch.write(size, "blocks"), "token")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "rep", "root")
@@ -245,13 +302,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     sets = _sets(_chosen(docs, left.select(F.col("rep").alias("doc_id"))), width).select(F.monotonically_increasing_id().alias("sid"), F.col("doc_id").alias("rep"), "shingles")
     sets = scratch.write(sets, "sets")
     lists = _lists(sets, left, percent, scratch)
-    low = scratch.write(lists.groupBy("token").agg(F.min("rep").alias("a")), "low")
-    pairs = scratch.write(lists.join(low, "token").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    more = scratch.write(_linked(pairs, sets.drop("sid"), percent), "links")
+    pairs, lists = _met(lists, percent, scratch)
+    both = _compared_in_groups(scratch.write(pairs, "pairs"), sets, percent, scratch)
+    name = sets.select("sid", "rep")
+    more = both.join(name.toDF("u", "ru"), "u").join(name.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    more = scratch.write(more, "links")
     if more.limit(1).count():
         links = links.unionByName(more)
         roots = scratch.write(components(links, scratch), "roots")
-        lists = lists.drop("root").join(roots, lists.rep == roots.node, "left").select("token", "sid", "rep", F.coalesce("root", "rep").alias("root"))
+        lists = lists.drop("root").join(roots, lists.rep == roots.node, "left").select("token", "sid", "n", "rep", F.coalesce("root", "rep").alias("root"))
+    lists = scratch.write(lists, "rest")
     several = scratch.write(lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "several")
     more = scratch.write(_blocks(scratch.write(lists.join(several, "token", "left_semi"), "lists"), sets, percent, scratch), "links")
     if more.limit(1).count():

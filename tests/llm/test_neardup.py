@@ -109,6 +109,7 @@ def test_lists_in_blocks(spark, monkeypatch):
 
     rnd = random.Random(6)
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(neardup, "PIVOTS", 3)
     base = [f"w{i}" for i in range(100)]
     rows = []
     for d in range(90):
