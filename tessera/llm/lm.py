@@ -39,7 +39,7 @@ from tessera.llm.scan import utf8
 from tessera.runtime import Scratch, ship, table
 
 #: Bytes of text in a block, at least one text.
-BLOCK = 24 << 20
+BLOCK = 16 << 20
 #: Languages with components of their own, the commonest in training; any others share one more. Each costs a
 #: forward pass over every word and 256 KB of the model that workers get.
 COMPONENTS = 63
@@ -109,14 +109,14 @@ class Block:
             s, e, at = scan.word_spans(part, off[lo : hi + 1] - off[lo], scan.NOT_SPACE)
             with np.errstate(over="ignore"):
                 hashes.append(scan.word_hashes(part, s, e).view(np.int64))
-            self.starts.append(s + off[lo])
-            self.ends.append(e + off[lo])
+            self.starts.append((s + off[lo]).astype(np.int32))
+            self.ends.append((e + off[lo]).astype(np.int32))
             counts.append(np.diff(at))
             lo = hi
         self.hash = np.concatenate(hashes)
         self.starts, self.ends = np.concatenate(self.starts), np.concatenate(self.ends)
         self.n_words = np.concatenate(counts)
-        self.doc = np.repeat(np.arange(n), self.n_words)
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), self.n_words)
 
 
 def word_counts(blocks: DataFrame, kinds: int) -> DataFrame:
@@ -134,10 +134,11 @@ def word_counts(blocks: DataFrame, kinds: int) -> DataFrame:
                 if not len(k.hash):
                     continue
                 names, first, at = np.unique(k.hash, return_index=True, return_inverse=True)
+                at, k.hash = at.astype(np.int32), None
                 low = scan.LOWER[k.buf].tobytes()
                 words = np.array([low[s:e] for s, e in zip(k.starts[first].tolist(), k.ends[first].tolist(), strict=True)], object)
                 train = ~k.held[k.doc]
-                n = np.bincount(at[train] * kinds + k.kind[k.doc[train]], minlength=len(names) * kinds).reshape(-1, kinds)
+                n = np.bincount(at[train].astype(np.int64) * kinds + k.kind[k.doc[train]], minlength=len(names) * kinds).reshape(-1, kinds)
                 none = np.flatnonzero(n.sum(axis=1) == 0)
                 w, kind = np.nonzero(n)
                 who = np.concatenate([w, none])
