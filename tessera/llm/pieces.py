@@ -34,9 +34,9 @@ from tessera.runtime import ship
 
 MARK = "▁"
 #: Bytes of segments and their ids that a worker keeps in each of two generations, about.
-CACHE = 20 << 20
+CACHE = 32 << 20
 #: Bytes of Python objects for each kept segment, besides its characters and ids; pairs of tokens whose fit is kept.
-ENTRY, FITS = 190, 100_000
+ENTRY, FITS = 190, 200_000
 #: Largest model file that is broadcast.
 MODEL_BYTES = 64 << 20
 
