@@ -289,16 +289,20 @@ class Index:
         from_ = who * self.span + self.start[w]
         count = np.searchsorted(place, from_ + self.size[w] - Q, side="right") - np.searchsorted(place, from_)
         ok = count >= self.least[w]
-        who, w = who[ok], w[ok]
+        who, w, whole = who[ok], w[ok], (count >= self.size[w] - Q + 1)[ok]
         # The band's first diagonal, in places of b, at the window's start.
         low = (bin_[band] % bins)[who] * half - self.gap - doc[who] * self.gap + self.start[w]
         out = []
         for i in range(0, len(w), 4096):
-            out += self._align(b, to, half, w[i : i + 4096], doc[who[i : i + 4096]], low[i : i + 4096], at, off)
+            s = slice(i, i + 4096)
+            out += self._align(b, to, half, w[s], doc[who[s]], low[s], whole[s], at, off)
         return out
 
-    def _align(self, b, to, half, window, doc, low, at, off):
-        """Least edits of each window against its band, free to begin and end anywhere in it."""
+    def _align(self, b, to, half, window, doc, low, whole, at, off):
+        """Least edits of each window against its band, free to begin and end anywhere in it.
+
+        ``whole`` tells windows of which the band has every q-gram: those stand there as they are, as a rule, and are looked for first.
+        """
         size, most = self.size[window], int(self.size[window].max())
         width = 4 * half
         begin = low - half
@@ -307,33 +311,19 @@ class Index:
         pattern = np.where(inner < size[:, None], pattern, 254)
         cols = begin[:, None] + np.arange(most + width)
         ok = (cols >= to[doc][:, None]) & (cols < to[doc + 1][:, None])
-        region = np.where(ok, b[np.clip(cols, 0, len(b) - 1)], 255)
-        k = np.arange(width)
-        d = np.zeros((len(window), width), np.int32)
-        where = np.broadcast_to(k, d.shape).copy()  # where the alignment began, less its row
+        region = np.where(ok, b[np.clip(cols, 0, len(b) - 1)], 255).astype(np.uint8)
         best, end, start = np.full(len(window), most + 1), np.zeros(len(window), np.int64), np.zeros(len(window), np.int64)
-        for i in range(most + 1):
-            done = np.flatnonzero(size == i)
-            if len(done):
-                j = d[done].argmin(axis=1)
-                best[done], end[done], start[done] = d[done, j], j + i, where[done, j]
-            if i == most:
+        same = np.flatnonzero(whole)
+        pattern, beyond = pattern.astype(np.uint8), inner >= size[:, None]
+        for j in range(width):
+            if not len(same):
                 break
-            e = d + (pattern[:, i : i + 1] != region[:, i : i + width])
-            skip = np.empty_like(d)
-            skip[:, :-1] = d[:, 1:] + 1
-            skip[:, -1] = 1 << 20
-            from_skip = skip < e
-            moved = np.empty_like(where)
-            moved[:, :-1] = where[:, 1:]
-            moved[:, -1] = where[:, -1]
-            e = np.where(from_skip, skip, e)
-            where = np.where(from_skip, moved, where)
-            run = np.minimum.accumulate(e - k, axis=1) + k
-            # A run of inserted characters keeps the beginning of the cell it starts from.
-            source = np.maximum.accumulate(np.where(run == e, k, 0), axis=1)
-            where = np.take_along_axis(where, source, axis=1)
-            d = run
+            there = ((region[same, j : j + most] == pattern[same]) | beyond[same]).all(axis=1)
+            best[same[there]], start[same[there]], end[same[there]] = 0, j, j + size[same[there]]
+            same = same[~there]
+        todo = np.flatnonzero(best > 0)
+        if len(todo):
+            best[todo], start[todo], end[todo] = _least_edits(pattern[todo], region[todo], size[todo], self.edits[window[todo]], width)
         out = []
         for i in np.flatnonzero(best <= self.edits[window]):
             first, last = int(begin[i] + start[i]), int(begin[i] + end[i]) - 1
@@ -342,6 +332,49 @@ class Index:
         return out
 
 
+def _least_edits(pattern: np.ndarray, region: np.ndarray, size: np.ndarray, allowed: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of each pattern against the diagonals of its region, row by row; those beyond the edits allowed are given up.
+
+    All windows take a row at once: a row's cells lie one after another, and each cell's windows side by side.
+    """
+    rows, most = pattern.shape
+    cells = np.arange(width, dtype=np.int16)[:, None]
+    d = np.zeros((width, rows), np.int16)
+    where = np.broadcast_to(cells, d.shape).copy()  # where the alignment began, less its row
+    best, end, start = np.full(rows, most + 1), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    region, pattern = np.ascontiguousarray(region.T), np.ascontiguousarray(pattern.T)
+    row = np.arange(rows)  # of each column that is still worked on
+    skip, moved = np.empty_like(d), np.empty_like(where)
+    for i in range(most + 1):
+        done = np.flatnonzero(size[row] == i)
+        if len(done):
+            j = d[:, done].argmin(axis=0)
+            best[row[done]], end[row[done]], start[row[done]] = d[j, done], j + i, where[j, done]
+        if i % 4 == 0 and i:
+            on = (d.min(axis=0) <= allowed[row]) & (size[row] > i)
+            if on.sum() < 0.8 * len(row):
+                row, d, where, region, pattern = row[on], d[:, on], where[:, on], region[:, on], pattern[:, on]
+                skip, moved = np.empty_like(d), np.empty_like(where)
+        if i == most or not len(row):
+            break
+        e = d + (region[i : i + width] != pattern[i])
+        skip[:-1] = d[1:] + 1
+        skip[-1] = 1 << 14
+        moved[:-1] = where[1:]
+        moved[-1] = where[-1]
+        from_skip = skip < e
+        np.copyto(e, skip, where=from_skip)
+        np.copyto(where, moved, where=from_skip)
+        run = np.minimum.accumulate(e - cells, axis=0) + cells
+        changed = run != e
+        if changed.any():
+            # A run of inserted characters keeps the beginning of the cell it starts from.
+            source = np.maximum.accumulate(np.where(changed, np.int16(0), cells), axis=0)
+            where = np.take_along_axis(where, source, axis=0)
+        d = run
+    return best, start, end
+
+
 def item_parts(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", part: int = PART):
     """The benchmark's items, normalised, as indexes of bounded size."""
     size = benchmark.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
