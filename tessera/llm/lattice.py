@@ -114,18 +114,23 @@ class Pieces:
         return a
 
     def expected(self, words: np.ndarray, logp: np.ndarray, weight: np.ndarray, edges=None, forward=None) -> np.ndarray:
-        """Expected uses of each piece over all segmentations, times the words' weights."""
+        """Expected uses of each piece over all segmentations, times the words' weights; a row for each column of weights, if they have columns."""
         m, n = words.shape
         edges = edges or self.edges(words)
         a = self.forward(words, logp, edges) if forward is None else forward
         z = np.full((m, n + 1), -np.inf)
         z[:, n] = 0
-        out = np.zeros(len(self.pieces))
+        rows, ids, share = [], [], []
         for b, e, r, i in reversed(edges):  # ends fall, so an end is whole before it is used
             t = logp[i] + z[r, e]
             z[r, b] = np.logaddexp(z[r, b], t)
-            out += np.bincount(i, weights=np.exp(a[r, b] + t - a[r, n]) * weight[r], minlength=len(out))
-        return out
+            rows.append(r)
+            ids.append(i)
+            share.append(np.exp(a[r, b] + t - a[r, n]))
+        rows, ids, share = np.concatenate(rows), np.concatenate(ids), np.concatenate(share)
+        each = weight.reshape(m, -1).T
+        out = np.array([np.bincount(ids, weights=share * w[rows], minlength=len(self.pieces)) if w.any() else np.zeros(len(self.pieces)) for w in each])
+        return out if weight.ndim > 1 else out[0]
 
     def long_word(self, word: bytes, logp: np.ndarray) -> float:
         """Log-probability of a single long word, byte by byte."""

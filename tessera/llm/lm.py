@@ -27,6 +27,8 @@ the pieces' start; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,8 @@ COMPONENTS = 63
 ROUNDS = 2
 #: Blocks in one list of a word's places.
 PLACES = 4096
+#: Words and bytes that a task of the lattice takes at once: there are then many words of each length.
+WORDS, WORDS_BYTES = 1 << 16, 16 << 20
 SMOOTH = 1e-3
 #: Bytes of a block are compressed by this codec while they wait.
 CODEC = "zstd"
@@ -118,9 +122,21 @@ class Block:
         self.n_words = np.concatenate(counts)
         self.doc = np.repeat(np.arange(n, dtype=np.int32), self.n_words)
 
+    def numbered(self) -> np.ndarray:
+        """Of each token the number of its word, in order of the words' first tokens."""
+        return pa.array(self.hash).dictionary_encode().indices.to_numpy()
+
+    def words(self, first: np.ndarray) -> pa.Array:
+        """The lower-cased words of these tokens, which are in order."""
+        off = np.empty(2 * len(first), np.int64)  # words, and what stands between them
+        off[::2], off[1::2] = self.starts[first], self.ends[first]
+        low = scan.LOWER[self.buf]
+        both = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(low)])
+        return both.take(pa.array(np.arange(0, len(off) - 1, 2)))
+
 
 def word_counts(blocks: DataFrame, kinds: int) -> DataFrame:
-    """(block, at, word, kind, n): each block's distinct words in order of hash, with their training counts by language.
+    """(block, at, word, kind, n): each block's distinct words in order of first appearance, with their training counts by language.
 
     A word with several languages has several rows, of which the first only has
     ``at``; one only seen outside training has kind -1 and count 0.
@@ -133,12 +149,11 @@ def word_counts(blocks: DataFrame, kinds: int) -> DataFrame:
                 k = Block(row)
                 if not len(k.hash):
                     continue
-                names, first, at = np.unique(k.hash, return_index=True, return_inverse=True)
-                at, k.hash = at.astype(np.int32), None
-                low = scan.LOWER[k.buf].tobytes()
-                words = np.array([low[s:e] for s, e in zip(k.starts[first].tolist(), k.ends[first].tolist(), strict=True)], object)
+                at, k.hash = k.numbered(), None
+                first = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))
+                words = k.words(first)
                 train = ~k.held[k.doc]
-                n = np.bincount(at[train].astype(np.int64) * kinds + k.kind[k.doc[train]], minlength=len(names) * kinds).reshape(-1, kinds)
+                n = np.bincount(at[train].astype(np.int64) * kinds + k.kind[k.doc[train]], minlength=len(first) * kinds).reshape(-1, kinds)
                 none = np.flatnonzero(n.sum(axis=1) == 0)
                 w, kind = np.nonzero(n)
                 who = np.concatenate([w, none])
@@ -150,7 +165,7 @@ def word_counts(blocks: DataFrame, kinds: int) -> DataFrame:
                     s = slice(i, i + 100_000)
                     part = who[s]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), row["block"]), pa.int64()), pa.array(part, pa.int32(), mask=~lead[s]), pa.array(words[part].tolist(), pa.binary()), pa.array(each[s], pa.int32()), pa.array(many[s], pa.int64())],
+                        [pa.array(np.full(len(part), row["block"]), pa.int64()), pa.array(part, pa.int32(), mask=~lead[s]), words.take(pa.array(part)).cast(pa.binary()), pa.array(each[s], pa.int32()), pa.array(many[s], pa.int64())],
                         names=["block", "at", "word", "kind", "n"],
                     )
 
@@ -207,6 +222,19 @@ class Model:
         return counts * np.divide(spelt, known + spelt, out=np.ones(len(counts)), where=known + spelt > 0)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches."""
+    some, rows, size = [], 0, 0
+    for b in batches:
+        some.append(b)
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows >= WORDS or size >= WORDS_BYTES:
+            yield pa.concat_batches(some)
+            some, rows, size = [], 0, 0
+    if some:
+        yield pa.concat_batches(some)
+
+
 def _arrays(b: pa.RecordBatch, kinds: int) -> tuple[list[bytes], np.ndarray]:
     words = b.column(b.schema.get_field_index("word")).to_pylist()
     return words, np.array([b.column(b.schema.get_field_index(f"c{k}")).to_numpy(zero_copy_only=False) for k in range(kinds)], float).T.reshape(len(words), kinds)
@@ -220,7 +248,7 @@ def piece_uses(words: DataFrame, model: Model, kinds: int) -> tuple[np.ndarray,
     def run(batches):
         m = shared.value
         out = np.zeros((kinds, len(m.pieces.pieces) + 1))  # the last: words that take the lattice
-        for b in batches:
+        for b in _gathered(batches):
             ws, counts = _arrays(b, kinds)
             for at, mat in by_length(ws, 1 << 14):
                 if mat is None:
@@ -229,22 +257,25 @@ def piece_uses(words: DataFrame, model: Model, kinds: int) -> tuple[np.ndarray,
                         m.pieces.long_expected(b" " + ws[at[0]], m.logp[k], c[0], out[k, :-1])
                         out[k, -1] += c[0]
                     continue
-                edges = m.pieces.edges(mat) if m.shared else None
-                forward = m.pieces.forward(mat, m.logp[0], edges) if m.shared else None
+                if m.shared:  # one start for all languages, so one lattice for all words
+                    edges = m.pieces.edges(mat)
+                    forward = m.pieces.forward(mat, m.logp[0], edges)
+                    c = np.zeros((len(at), kinds))
+                    for k in range(kinds):
+                        some = np.flatnonzero(counts[at, k])
+                        c[some, k] = m.spelled(k, counts[at[some], k], forward[some, -1])
+                    out[:, :-1] += m.pieces.expected(mat, m.logp[0], c, edges, forward)
+                    out[:, -1] += c.sum(axis=0)
+                    continue
                 for k in range(kinds):
                     some = np.flatnonzero(counts[at, k])
                     if not some.size:
                         continue
-                    if m.shared:  # one start for all languages, so one lattice for all words
-                        c = np.zeros(len(at))
-                        c[some] = m.spelled(k, counts[at[some], k], forward[some, -1])
-                        out[k, :-1] += m.pieces.expected(mat, m.logp[k], c, edges, forward)
-                    else:
-                        part = mat[some]
-                        es = m.pieces.edges(part)
-                        f = m.pieces.forward(part, m.logp[k], es)
-                        c = m.spelled(k, counts[at[some], k], f[:, -1])
-                        out[k, :-1] += m.pieces.expected(part, m.logp[k], c, es, f)
+                    part = mat[some]
+                    es = m.pieces.edges(part)
+                    f = m.pieces.forward(part, m.logp[k], es)
+                    c = m.spelled(k, counts[at[some], k], f[:, -1])
+                    out[k, :-1] += m.pieces.expected(part, m.logp[k], c, es, f)
                     out[k, -1] += c.sum()
         k, i = np.nonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(i, pa.int32()), pa.array(out[k, i])], names=["kind", "piece", "uses"])
@@ -305,7 +336,7 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
 
     @scan.tidied
     def run(batches):
-        for b in batches:
+        for b in _gathered(batches):
             ws, counts = _arrays(b, kinds)
             lp = shared.value.words(ws, counts)
             yield pa.RecordBatch.from_arrays(
@@ -329,7 +360,7 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
         for row in blocks_.to_pylist():
             k = Block(row)
             n = len(k.ids)
-            at = np.unique(k.hash, return_inverse=True)[1]
+            at = k.numbered()
             known = np.bincount(k.doc, weights=c[at] > 0, minlength=n).astype(np.int64) + int(end_count > 0)
             total_base = np.bincount(k.doc, weights=base[at], minlength=n) + end
             by_kind = np.stack([np.bincount(k.doc, weights=lp[at, j], minlength=n) for j in range(len(m.prior))], axis=1) + m.end + m.prior
