@@ -50,6 +50,8 @@ ROUNDS = 2
 PLACES = 4096
 #: Words and bytes that a task of the lattice takes at once: there are then many words of each length.
 WORDS, WORDS_BYTES = 1 << 16, 16 << 20
+#: Tokens of a block that are counted at once, and rows in a batch of scores.
+STEP, ROWS_OUT = 1 << 19, 10_000
 SMOOTH = 1e-3
 #: Bytes of a block are compressed by this codec while they wait.
 CODEC = "zstd"
@@ -142,32 +144,41 @@ def word_counts(blocks: DataFrame, kinds: int) -> DataFrame:
     ``at``; one only seen outside training has kind -1 and count 0.
     """
 
+    def counted(row):
+        k = Block(row)
+        if not len(k.hash):
+            return
+        at, k.hash = k.numbered(), None
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))
+        words, train = k.words(first), ~k.held
+        n = np.zeros(len(first) * kinds, np.int64)
+        for i in range(0, len(at), STEP):
+            doc = k.doc[i : i + STEP]
+            some = train[doc]
+            n += np.bincount(at[i : i + STEP][some].astype(np.int64) * kinds + k.kind[doc[some]], minlength=len(n))
+        n = n.reshape(-1, kinds)
+        k = at = first = None
+        none = np.flatnonzero(n.sum(axis=1) == 0)
+        w, kind = np.nonzero(n)
+        who = np.concatenate([w, none])
+        lead = np.ones(len(who), bool)
+        lead[1 : len(w)] = w[1:] != w[:-1]
+        each = np.concatenate([kind, np.full(len(none), -1)])
+        many = np.concatenate([n[w, kind], np.zeros(len(none), np.int64)])
+        for i in range(0, len(who), 100_000):
+            s = slice(i, i + 100_000)
+            part = who[s]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), row["block"]), pa.int64()), pa.array(part, pa.int32(), mask=~lead[s]), words.take(pa.array(part)).cast(pa.binary()), pa.array(each[s], pa.int32()), pa.array(many[s], pa.int64())],
+                names=["block", "at", "word", "kind", "n"],
+            )
+
     @scan.tidied
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                k = Block(row)
-                if not len(k.hash):
-                    continue
-                at, k.hash = k.numbered(), None
-                first = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))
-                words = k.words(first)
-                train = ~k.held[k.doc]
-                n = np.bincount(at[train].astype(np.int64) * kinds + k.kind[k.doc[train]], minlength=len(first) * kinds).reshape(-1, kinds)
-                none = np.flatnonzero(n.sum(axis=1) == 0)
-                w, kind = np.nonzero(n)
-                who = np.concatenate([w, none])
-                lead = np.ones(len(who), bool)
-                lead[1 : len(w)] = w[1:] != w[:-1]
-                each = np.concatenate([kind, np.full(len(none), -1)])
-                many = np.concatenate([n[w, kind], np.zeros(len(none), np.int64)])
-                for i in range(0, len(who), 100_000):
-                    s = slice(i, i + 100_000)
-                    part = who[s]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), row["block"]), pa.int64()), pa.array(part, pa.int32(), mask=~lead[s]), words.take(pa.array(part)).cast(pa.binary()), pa.array(each[s], pa.int32()), pa.array(many[s], pa.int64())],
-                        names=["block", "at", "word", "kind", "n"],
-                    )
+                yield from counted(row)
+                scan.release()
 
     return blocks.mapInArrow(run, "block long, at int, word binary, kind int, n long")
 
@@ -339,10 +350,11 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
         for b in _gathered(batches):
             ws, counts = _arrays(b, kinds)
             lp = shared.value.words(ws, counts)
-            yield pa.RecordBatch.from_arrays(
+            done = pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index("places")), pa.array(counts.sum(axis=1).astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, lp.size + 1, lp.shape[1]), pa.int32()), pa.array(lp.astype(np.float32).reshape(-1)))],
                 names=["places", "c", "lp"],
             )
+            yield from (done.slice(i, ROWS_OUT) for i in range(0, done.num_rows, ROWS_OUT))
 
     scored = words.mapInArrow(run, "places array<struct<block:long,at:int>>, c long, lp array<float>")
     need = scored.select(F.explode("places").alias("p"), "c", "lp").select("p.block", "p.at", "c", "lp")
@@ -350,14 +362,14 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
     end_count = float(n_docs.sum())
 
     def texts(blocks_: pa.Table, words_: pa.Table) -> pa.Table:
-        rows = []
         m = shared.value
         order = np.argsort(words_["at"].to_numpy())
         c = words_["c"].to_numpy()[order]
         lp = words_["lp"].combine_chunks().flatten().to_numpy().reshape(-1, len(m.prior))[order].astype(float)
         base = np.log10((c + 0.5) / (all_tokens + floor))
         end = float(np.log10((end_count + 0.5) / (all_tokens + floor)))
-        for row in blocks_.to_pylist():
+
+        def marginals(row):
             k = Block(row)
             n = len(k.ids)
             at = k.numbered()
@@ -366,7 +378,9 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
             by_kind = np.stack([np.bincount(k.doc, weights=lp[at, j], minlength=n) for j in range(len(m.prior))], axis=1) + m.end + m.prior
             top = by_kind.max(axis=1, keepdims=True)
             marginal = (top[:, 0] + np.log(np.exp(by_kind - top).sum(axis=1))) / np.log(10)
-            rows.append(pa.table({"doc_id": pa.array(k.ids, pa.int64()), "held_out": pa.array(k.held), "n_tokens": pa.array(k.n_words + 1), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, all_tokens, np.int64)), "base_score": pa.array(total_base), "score": pa.array(marginal)}))
+            return pa.table({"doc_id": pa.array(k.ids, pa.int64()), "held_out": pa.array(k.held), "n_tokens": pa.array(k.n_words + 1), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, all_tokens, np.int64)), "base_score": pa.array(total_base), "score": pa.array(marginal)})
+
+        rows = [marginals(row) for row in blocks_.to_pylist()]
         scan.release()
         return pa.concat_tables(rows) if rows else pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
 
