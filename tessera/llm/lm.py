@@ -119,7 +119,7 @@ class Block:
             self.ends.append((e + off[lo]).astype(np.int32))
             counts.append(np.diff(at))
             lo = hi
-        self.hash = np.concatenate(hashes)
+        self.hash, hashes = np.concatenate(hashes), None
         self.starts, self.ends = np.concatenate(self.starts), np.concatenate(self.ends)
         self.n_words = np.concatenate(counts)
         self.doc = np.repeat(np.arange(n, dtype=np.int32), self.n_words)
@@ -151,6 +151,7 @@ def word_counts(blocks: DataFrame, kinds: int) -> DataFrame:
         at, k.hash = k.numbered(), None
         first = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))
         words, train = k.words(first), ~k.held
+        k.buf = k.starts = k.ends = None
         n = np.zeros(len(first) * kinds, np.int64)
         for i in range(0, len(at), STEP):
             doc = k.doc[i : i + STEP]
@@ -373,6 +374,7 @@ def score(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
             k = Block(row)
             n = len(k.ids)
             at = k.numbered()
+            k.buf = k.hash = k.starts = k.ends = None
             known = np.bincount(k.doc, weights=c[at] > 0, minlength=n).astype(np.int64) + int(end_count > 0)
             total_base = np.bincount(k.doc, weights=base[at], minlength=n) + end
             by_kind = np.stack([np.bincount(k.doc, weights=lp[at, j], minlength=n) for j in range(len(m.prior))], axis=1) + m.end + m.prior
