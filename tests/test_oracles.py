@@ -32,3 +32,15 @@ def test_query(spark, sf, duck, name):
     want = duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, got) == rows(want.columns, want.fetchall())
+
+
+def test_replies_about_the_limit(spark, tmp_path):
+    n = 8192
+    texts = ["a b the c", "w " * (n - 1) + "w", "w " * n + "w", "w " * (n + 50) + "de", "w " * n + "the x", "the", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = QUERIES["token_stream"](spark, str(tmp_path))
+    want = con.sql(ORACLES["token_stream"])
+    assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+    assert {r.doc_id for r in df.collect()} == {0, 1, 4}
