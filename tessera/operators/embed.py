@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import ship
 
+#: Characters that a HashEmbedder hashes at once, about.
+BLOCK = 1 << 17
+
 
 class Driver(Protocol):
     """What a driver offers. ``embed`` gives a vector for each text, in order; ``generate`` is optional."""
@@ -37,20 +40,29 @@ class HashEmbedder:
         raise NotImplementedError("this driver only embeds")
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            c = np.frombuffer(f"\2{text.lower()}\3".encode("utf-32-le"), np.uint32).astype(np.uint64)
-            if len(c) < 3:
-                continue
-            with np.errstate(over="ignore"):
-                h = (c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:]
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            slot = (h >> np.uint64(40)) % np.uint64(self.dim)
-            sign = np.where(h >> np.uint64(63), 1.0, -1.0)
-            np.add.at(row, slot.astype(np.int64), sign)
-            row /= max(float(np.linalg.norm(row)), 1e-9)
+        out, lo, size = np.zeros((len(texts), self.dim), np.float32), 0, 0
+        for hi, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= BLOCK or hi == len(texts):
+                self._block(texts[lo:hi], out[lo:hi])
+                lo, size = hi, 0
         return out
 
+    def _block(self, texts: list[str], out: np.ndarray) -> None:
+        """Fills a row of ``out`` for each text; no trigram crosses a text's border."""
+        framed = [f"\2{t.lower()}\3" for t in texts]
+        c = np.frombuffer("".join(framed).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n = np.array([len(t) for t in framed])
+        with np.errstate(over="ignore"):
+            h = (c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:]
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        row, end = np.repeat(np.arange(len(n)), n)[:-2], np.cumsum(n)
+        inside = np.arange(len(h)) + 2 < end[row]
+        slot = row * self.dim + ((h >> np.uint64(40)) % np.uint64(self.dim)).astype(np.int64)
+        sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+        out[:] = np.bincount(slot[inside], sign[inside], len(n) * self.dim).reshape(len(n), self.dim)
+        out /= np.array([[max(float(np.linalg.norm(x)), 1e-9)] for x in out], np.float32)
+
 
 def embed(texts: DataFrame, driver: Driver, text: str = "text", out: str = "vector") -> DataFrame:
     """(text, vector) for each distinct text; the driver is loaded once by a worker, batches go through it."""

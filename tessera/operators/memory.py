@@ -6,16 +6,20 @@ seconds); order is a column (``seq``).
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import vectors
 from tessera.functions.chunking import OVERLAP, SIZE, effective_overlap, explode_chunks, windows_of, words
 from tessera.operators.ordered import with_running
+from tessera.runtime import ship
 
 PIPE_CAP = 10_000
 TOP_K = 5
-#: Queries that are broadcast to the chunks; more are joined by blocks.
+#: Queries that go to the workers at once; more go in blocks.
 QUERY_BLOCK = 4096
 
 
@@ -48,22 +52,54 @@ def search(chunks: DataFrame, query: list[float] | Column, pipe: str, k: int = T
 def search_batch(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, as_of: int | None = None, tie: str = "seq", join_on: list[str] | None = None) -> DataFrame:
     """For each row of ``queries`` (query_id, query_vector) its k best chunks, with rank.
 
-    The queries are a stated set held against all chunks. They are broadcast in
-    blocks of QUERY_BLOCK rows, chosen by hash, each ranked with a limit in every
-    partition before the shuffle, so a task keeps k rows for each query.
+    The queries are a stated set held against all chunks. They go to the workers
+    in blocks of QUERY_BLOCK rows, chosen by hash. A worker scores a batch of
+    chunks at once and passes on the k best for each query; the scores are those
+    of ``scored``, bit by bit, as sums run in the same order. With ``join_on``
+    a query only meets the chunks that agree in these columns, in a join.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out = None
     for i in range(blocks):
         q = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = chunks.join(F.broadcast(q), join_on) if join_on else chunks.crossJoin(F.broadcast(q))
-        found = scored(pairs, F.col("query_vector"), as_of)
+        if join_on:
+            found = scored(chunks.join(F.broadcast(q), join_on), F.col("query_vector"), as_of)
+        else:
+            found = _best(chunks, q, k, as_of, tie)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(tie))
         found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("query_vector")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _best(chunks: DataFrame, queries: DataFrame, k: int, as_of: int | None, tie: str) -> DataFrame:
+    """``scored`` of all pairs of chunks and queries, but of each query only the k best of every batch of chunks."""
+    spark = chunks.sparkSession
+    ship(spark)
+    rows = queries.where("query_vector is not null").toArrow()
+    rest = [f for f in queries.schema.fields if f.name != "query_vector"]
+    asked = rows.select([f.name for f in rest]).append_column("_query", pa.array(range(len(rows)), pa.int32()))
+    asked = spark.createDataFrame(asked, T.StructType([*rest, T.StructField("_query", T.IntegerType())]))
+    shared = spark.sparkContext.broadcast(vectors.matrices(rows["query_vector"]))
+    columns = chunks.columns
+    weight = F.lit(None).cast("double") if as_of is None else vectors.decay(F.lit(as_of) - F.col("ts_s"))
+    chunks = chunks.where("vector is not null").withColumn("_weight", weight)
+    fields = [*chunks.schema.fields[:-1], T.StructField("_query", T.IntegerType()), T.StructField("score", T.DoubleType())]
+
+    def run(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            w = None if as_of is None else b.column(b.schema.get_field_index("_weight")).to_numpy()
+            place = pc.rank(t[tie], null_placement="at_start", tiebreaker="dense").to_numpy()
+            for query, row, score in vectors.best(t["vector"], shared.value, k, w, place):
+                got = t.select(columns).take(pa.array(row)).combine_chunks()
+                got = got.append_column("_query", pa.array(query, pa.int32())).append_column("score", pa.array(score))
+                yield from got.to_batches()
+
+    found = chunks.mapInArrow(run, T.StructType(fields)).join(F.broadcast(asked), "_query")
+    return found.select(*columns, *(f.name for f in rest), "score")
+
+
 def share_chunks(requests: DataFrame) -> DataFrame:
     """Requests with defaults filled in, a row for each chunk, with pos; blank texts give none.
 

@@ -110,6 +110,31 @@ def test_search_edges(spark):
     assert got == {(1, 1): "a", (2, 1): "c"}
 
 
+def test_batch_search_scores_no_table_of_pairs(spark):
+    nan, rnd = float("nan"), np.random.default_rng(5)
+    rows = [("p", i, f"t{i % 40}", [float(x) for x in rnd.integers(-3, 4, 3)], "x", int(rnd.integers(0, 300_000))) for i in range(400)]
+    rows += [("p", 900, "n", [nan, 0.0, 1.0], "x", 0), ("p", 901, "short", [1.0], "x", 0), ("p", 902, "none", None, "x", 0), ("p", 903, "part", [1.0, None, 2.0], "x", 0), ("p", 904, "big", [1e30, -1e30, float("inf")], "x", 0)]
+    c = chunk_rows(spark, rows).repartition(3)
+    q = spark.createDataFrame([(1, [1.0, 0.5, -2.0], "a"), (2, [-1.0, 0.0, 0.25], "b"), (3, [1.0, 1.0], "c"), (4, None, "d"), (5, [0.0, 0.0, 0.0], "e"), (5, [3.0, 0.0, nan], "f"), (None, [0.1, 0.1, 0.1], "g")], "query_id int, query_vector array<float>, note string")
+    for k, as_of in ((3, None), (7, 250_000), (1000, 250_000), (0, None)):
+        found = memory.search_batch(c, q, k, as_of)
+        assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        pairs = memory.scored(c.crossJoin(q), F.col("query_vector"), as_of).collect()
+        want = set()
+        for i in {r.query_id for r in pairs}:
+            mine = sorted((r for r in pairs if r.query_id == i), key=lambda r: (-r.score, r.seq))[:k]
+            want |= {(i, n, r.score, r.seq if i != 5 else 0) for n, r in enumerate(mine, 1)}
+        got = {(r.query_id, r["rank"], r.score, r.seq if r.query_id != 5 else 0) for r in found.collect()}
+        assert got == want and found.columns == [*c.columns, "query_id", "note", "score", "rank"]
+    assert memory.search_batch(c.limit(0), q, 3).count() == memory.search_batch(c, q.limit(0), 3).count() == 0
+
+
+def test_blocks_of_texts_embed_like_single_ones():
+    d = embed.HashEmbedder(16)
+    texts = ["", "a", "ab " * 70_000, "Zebra", "\u0130I", "x" * 9, "same", "same"]
+    assert (d.embed(texts) == np.concatenate([d.embed([t]) for t in texts])).all() and not d.embed([]).size and not d.embed([""]).any()
+
+
 def test_retention(spark):
     c = chunk_rows(spark, [("p", i, "t", [1.0], "x", i) for i in range(25)] + [("q", 1, "t", [1.0], "x", 9)])
     assert sorted(r.seq for r in memory.ring(c, 10).where("pipe = 'p'").collect()) == list(range(15, 25))
