@@ -3,10 +3,10 @@
 The model runs over characters of all scripts: every character of the training
 text is a symbol, digits as one, and all others are one symbol more. Counts of
 four-symbol runs, their continuation counts and the discounts are grouped and
-joined by Spark, sharded by the run. The training text is a sample of bounded
-size, so the seen runs are a table of bounded size too: each worker holds it,
-and a text is scored by looking up the run that ends at each character, and
-shorter runs only where that one was not seen.
+joined by Spark, sharded by the run. Every trusted document is used: most of them
+are counted, the others set the thresholds. Each worker holds the table of the
+seen runs, and a text is scored by looking up the run that ends at each
+character, and shorter runs only where that one was not seen.
 
 A document is kept if its perplexity is at most the threshold of its language:
 a quantile over all trusted documents of that language that the model was not
@@ -33,15 +33,13 @@ from pyspark.sql import types as T
 
 from tessera.llm import scan
 from tessera.llm.scan import U, extend, utf8
-from tessera.runtime import Scratch, ship, table
+from tessera.runtime import Scratch, likely, ship, table
 
-#: Trusted rows of each language that the model is trained on, about, and characters of all together: chosen by a hash of doc_id.
-TRAIN_ROWS, TRAIN_CHARS = 1500, 16_000_000
 ORDER = 4
 #: Bits of a symbol in a run's code: four fill 64.
 BITS = 16
 MASK = (1 << BITS) - 1
-#: The share of a language's trusted rows that is trained on at most; the others set the threshold.
+#: The share of the trusted documents that is trained on, by a hash of doc_id; all others set the thresholds.
 TRAIN_SHARE = 0.7
 #: So many trusted rows outside training give a language a threshold of its own.
 OWN_ROWS = 50
@@ -175,20 +173,15 @@ class Model:
     """What workers get: the alphabet, and by order the seen runs with their log-probabilities and the contexts with the log-weights of what is shorter."""
 
     def __init__(self, letters: Alphabet, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.letters, self.orders = letters, orders
-        self._tables: list[tuple[Table, Table]] = []
-
-    def __getstate__(self):
-        return self.__dict__ | {"_tables": []}
+        self.letters = letters
+        self.tables = [(Table(code, p), Table(ctx, g)) for code, p, ctx, g in orders]
 
     def log_p(self, code: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Log-probability of the last symbol of each run after those before it."""
-        if not self._tables:
-            self._tables = [(Table(code, p), Table(ctx, g)) for code, p, ctx, g in self.orders]
         out = np.zeros(len(code))
         todo = np.arange(len(code))
         for k in range(order, 0, -1):
-            runs, contexts = self._tables[k - 1]
+            runs, contexts = self.tables[k - 1]
             now = code[todo] & U((1 << BITS * k) - 1)
             p, hit = runs.find(now)
             out[todo[hit]] += p[hit]
@@ -219,11 +212,11 @@ def train(texts: DataFrame, scratch: Scratch) -> Model | None:
     runs = _counts(texts, count, "code long, n long")
     orders, mass = [], 0
     for t in kneser_ney(runs, letters.size, scratch):
-        got = t.toPandas()  # at most two rows for each character that was trained on
-        p, g = got[got.kind == "p"], got[got.kind == "g"]
-        mass = len(p)
-        logs = [np.log(np.maximum(x.p.to_numpy(float), 1e-300)).astype(np.float32) for x in (p, g)]
-        orders.append((p.code.to_numpy(np.int64).view(U), logs[0], g.code.to_numpy(np.int64).view(U), logs[1]))
+        log = F.log(F.greatest("p", F.lit(1e-300))).cast("float")
+        got = t.select("code", log.alias("log"), (F.col("kind") == "p").alias("run")).toArrow()  # the seen runs and contexts, 13 bytes each
+        code, log, run = (got[c].to_numpy() for c in ("code", "log", "run"))
+        mass = int(run.sum())
+        orders.append((code[run].view(U), log[run], code[~run].view(U), log[~run]))
     return Model(letters, orders) if mass else None
 
 
@@ -249,24 +242,18 @@ def trusted(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> tuple[Model | None, DataFrame]:
-    """A model of about ``rows`` trusted documents of each language, and the doc_ids of the other trusted documents.
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Model | None, DataFrame]:
+    """A model of TRAIN_SHARE of the trusted documents, and the doc_ids of all other trusted documents.
 
     Without any other, the documents trained on stand in for them.
     """
-    good = docs.select("doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
-    good = scratch.write(good.join(trusted(labels), "doc_id", "left_semi"), "good")
-    share = scratch.write(good.groupBy("lang").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")), "languages")
-    most = float(TRAIN_CHARS) / max(share.count(), 1)
-    share = share.select("lang", F.least(F.lit(TRAIN_SHARE), F.lit(float(rows)) / F.col("n"), F.lit(most) / F.greatest("chars", F.lit(1))).alias("share"))
-    # The languages' shares: a row each; the chosen ids: a bounded number for each.
-    chosen = good.join(share, good.lang.eqNullSafe(share.lang)).where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("doc_id")
-    chosen = scratch.write(chosen, "chosen")
-    if not (n := chosen.count()):
-        chosen = scratch.write(good.select("doc_id"), "chosen")
-    others = scratch.write(good.select("doc_id").join(chosen, "doc_id", "left_anti"), "others")
-    ids = F.broadcast(chosen) if n <= 1_000_000 else chosen
-    model = train(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), scratch)
+    good = scratch.write(docs.select("doc_id").join(trusted(labels), "doc_id", "left_semi").distinct(), "good")
+    trained = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < TRAIN_SHARE * (1 << 20)
+    chosen, others = good.where(trained), good.where(~trained)
+    if not chosen.limit(1).count():
+        chosen = good
+    # Only the trusted texts, and few others, are shuffled.
+    model = train(likely(docs.select("doc_id", "text"), chosen).join(chosen, "doc_id", "left_semi"), scratch)
     return model, others if others.limit(1).count() else chosen
 
 

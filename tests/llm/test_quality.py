@@ -106,3 +106,14 @@ def test_defined_results(spark):
     assert len(got) == 7 and all(r.kept for r in got if r.doc_id != 5) and [r.kept for r in got if r.doc_id == 5] == [False]
     assert all(r.kept for r in quality.judge(docs, labels.limit(0), Scratch(spark, "t")).collect())
     assert quality.judge(docs.limit(0), labels, Scratch(spark, "t")).count() == 0
+
+
+def test_every_trusted_document_is_used(spark, monkeypatch):
+    n = 6000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, scratch: seen.append(sorted(r.doc_id for r in texts.collect())))
+    _, others = quality.fit(docs, docs.selectExpr("doc_id", "1 as quality", "0 as toxic").where("doc_id != 7"), Scratch(spark, "t"))
+    others = sorted(r.doc_id for r in others.collect())
+    assert sorted(seen[0] + others) == [i for i in range(n) if i != 7] and len(set(seen[0])) == len(seen[0])
+    assert abs(len(seen[0]) / n - quality.TRAIN_SHARE) < 0.03
