@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 from tessera.llm import scan
 from tessera.llm.components import components
 from tessera.llm.scan import U, extend, utf8
-from tessera.runtime import Scratch, ship, table
+from tessera.runtime import Scratch, likely, ship, table
 
 #: A pair at a similarity of exactly 0.8 shares no band with a probability of (1 - 0.8**6)**56, about 4e-8.
 BANDS, ROWS = 56, 6
@@ -49,8 +49,8 @@ UNIVERSE = 1 << 20
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
 #: Sets of a list that are compared with all others of the list before it is cut into blocks.
 PIVOTS = 64
-#: Ids of candidates that are broadcast to the texts, 8 bytes each.
-SENT_IDS = 2_000_000
+#: Bytes of text whose words a worker hashes at once; its arrays are some hundred times as large.
+BLOCK = 1 << 18
 
 
 def _permutation(seed: int) -> np.ndarray:
@@ -85,7 +85,7 @@ class Sketcher:
 
 def shingle_sets(texts: pa.LargeStringArray, width: int):
     """For each text, in order, its distinct shingles of ``width`` words as sorted 64-bit hashes."""
-    for lo, hi, buf, off in scan.blocks(texts):
+    for lo, hi, buf, off in scan.blocks(texts, BLOCK):
         starts, ends, at = scan.word_spans(buf, off, scan.NOT_SPACE)
         words = scan.word_hashes(buf, starts, ends)
         runs = words.copy()
@@ -267,11 +267,6 @@ def _compared(rep, root, flat, off, left, right, percent: int) -> list[tuple[int
     return out
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``; texts are shuffled only where the ids are too many to broadcast."""
-    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
-
-
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (columns doc_id and text).
 
@@ -299,7 +294,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     now = scratch.write(now, "now")
     several = scratch.write(now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"), "several")
     left = scratch.write(now.join(several, "key", "left_semi").select("rep", "root").distinct(), "left")
-    sets = _sets(_chosen(docs, left.select(F.col("rep").alias("doc_id"))), width).select(F.monotonically_increasing_id().alias("sid"), F.col("doc_id").alias("rep"), "shingles")
+    sets = _sets(likely(docs, left.select("rep")), width).select(F.monotonically_increasing_id().alias("sid"), F.col("doc_id").alias("rep"), "shingles")
     sets = scratch.write(sets, "sets")
     lists = _lists(sets, left, percent, scratch)
     pairs, lists = _met(lists, percent, scratch)
@@ -336,7 +331,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratc
     """(u, v) of the pairs (a, b) of class representatives that are linked, on their full sets."""
     need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # A doc_id of several rows has several sets; a link of any is a link of the document.
-    sets = scratch.write(_sets(_chosen(docs, scratch.write(need, "need")), width), "sets")
+    sets = scratch.write(_sets(likely(docs, scratch.write(need, "need")), width), "sets")
     return _linked(pairs, sets.withColumnRenamed("doc_id", "rep"), percent)
 
 

@@ -4,7 +4,7 @@ import re
 
 from tessera.llm import neardup
 from tessera.llm.components import components
-from tessera.runtime import Scratch
+from tessera.runtime import Scratch, likely
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -124,3 +124,17 @@ def test_long_text(spark):
     words = [f"w{i}" for i in range(300_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[20_000:])), (3, " ".join(words[:40_000])), (4, "x" * 5_000_000)]
     check(spark, rows)
+
+
+def test_candidates_are_not_broadcast_as_rows(spark):
+    docs = spark.range(-500, 300_000).selectExpr("if(id % 1000 = 999, null, id) as doc_id", "cast(id as string) as text")
+    ids = spark.range(0, 300_000, 2).selectExpr("if(id = 10, null, id) as rep")
+    found = likely(docs, ids)
+    got = found.collect()
+    want = {i for i in range(0, 300_000, 2) if i != 10}
+    here = {r.doc_id for r in got}
+    assert want <= here and None not in here and found.columns == ["doc_id", "text"] and len(got) == len(here)
+    assert len(here - want) < 0.05 * 150_000
+    assert likely(docs, ids.limit(0)).count() == 0
+    plan = found._jdf.queryExecution().toString()
+    assert "bitmap_construct_agg" in plan and "SortMergeJoin" not in plan
