@@ -44,6 +44,8 @@ STRIDE = 16
 EDITS = 0.08
 #: Bytes of benchmark text that go to the workers at once; an index has some 60 times as many.
 PART = 1 << 19
+#: Bytes of text that a worker searches at once; its arrays are some hundred times as large.
+BLOCK = 1 << 18
 _BITS = 22
 
 
@@ -402,7 +404,7 @@ def with_leaks(docs: DataFrame, index: Index, name: str, text: str = "text", kee
 
     def one(b: pa.RecordBatch) -> list[pa.Array]:
         rows: list = []
-        for lo, hi, buf, off in scan.blocks(utf8(b.column(b.schema.get_field_index(text)))):
+        for lo, hi, buf, off in scan.blocks(utf8(b.column(b.schema.get_field_index(text))), BLOCK):
             found: dict[int, dict[int, list[int]]] = {}
             if len(buf):
                 for doc, item, first, end, edits in shared.value.search(buf, off):
