@@ -14,11 +14,12 @@ compared exactly, but not with all others: with shingles in order of how many of
 these classes have them, the rarest first, two classes can only be linked if they
 share one of the first n - need + 1 (need: the share of n that a link asks for).
 So each such shingle has a list of classes, mostly none or one: classes that share
-no more than boilerplate never meet. Lists, too, are compared with a few pivots
-first, which are then done with. A list that even without them holds several
-components is cut into blocks, and two blocks of bounded size are compared in one
-task, which gives only links that join components, so no table of candidate pairs
-is made.
+no more than boilerplate never meet. A short list gives its pairs, so a class never
+has more of them than its lists are long. Long lists give none: those of much the
+same classes are taken together as one, and what then still holds several
+components is cut into blocks. Two blocks of bounded size are compared in one task,
+which gives only links that join components; classes of the list's least component
+meet only those outside it.
 
 Defined results: null, empty and blank texts have no shingles and are linked
 with nothing; rows that share a doc_id count as one document; rows with a null
@@ -47,8 +48,10 @@ BANDS, ROWS = 56, 6
 UNIVERSE = 1 << 20
 #: Classes and shingles in a block of a list, about.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
-#: Sets of a list that are compared with all others of the list before it is cut into blocks.
+#: A list of at most so many sets gives all its pairs (each set is a pivot); longer ones are compared in blocks.
 PIVOTS = 64
+#: A long list is taken together with others if all their sets are at most so many times its own.
+MERGED = 4
 #: Bytes of text whose words a worker hashes at once; its arrays are some hundred times as large.
 BLOCK = 1 << 18
 
@@ -135,7 +138,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _lists(sets: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(token, sid, n, rep, root): for each shingle, the sets (sid, rep, shingles) that have it among their first; of several roots."""
+    """(token, sid, n, shared, rep, root, c): for each shingle, the c sets (sid, rep, shingles) that have it among their first; of several roots."""
     least = F.expr(f"({percent} * n + 99) div 100")
     words = sets.select("sid", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     # A table of its own, so that the join below is between two shuffles and a common shingle's side can be split.
@@ -143,24 +146,39 @@ def _lists(sets: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) ->
     own = Window.partitionBy("sid")
     # Shingles that no other set has come first, so of the others the first (those shared) - need + 1 count.
     first = words.join(often, "token").select("sid", "token", "n", F.row_number().over(own.orderBy("often", "token")).alias("r"), F.count("*").over(own).alias("shared"))
-    first = first.where(F.col("r") <= F.col("shared") - least + 1).select("sid", "token", "n")
+    first = first.where(F.col("r") <= F.col("shared") - least + 1).select("sid", "token", "n", "shared")
     first = scratch.write(first.join(sets.select("sid", "rep").join(roots, "rep"), "sid"), "first")
     # Lists of the same sets are one list: they are told by two hashes over their sets.
     kinds = first.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "sid")).alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    kinds = scratch.write(kinds.where("lo < hi").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token"), "lists")
-    return scratch.write(first.join(kinds, "token", "left_semi"), "members")
+    kinds = scratch.write(kinds.where("lo < hi").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token", "c"), "lists")
+    return scratch.write(first.join(kinds, "token"), "members")
 
 
-def _met(lists: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(a, b): pairs of sets of different roots that the pivots of a list make, each once; and the lists without their pivots.
+def _short(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of sets of different roots in lists of at most PIVOTS sets, each once, that can be linked by their sizes.
 
-    A list's pivots are its first PIVOTS sets by a hash, the same sets in many lists.
+    What two sets have in common is within what each of them shares with any other.
     """
-    first = Window.partitionBy("token").orderBy(F.xxhash64("sid", F.lit(8)), "sid")
-    pivots = scratch.write(lists.withColumn("r", F.row_number().over(first)).where(F.col("r") <= PIVOTS).select("token", F.col("sid").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot")), "pivots")
-    met = lists.join(pivots, "token").where("root != proot").where(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-    rest = lists.join(pivots.select("token", F.col("p").alias("sid")), ["token", "sid"], "left_anti")
-    return met.select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct(), rest
+    one = lists.where(F.col("c") <= PIVOTS).select("token", "sid", "n", "shared", "root")
+    pairs = one.toDF("token", "a", "na", "sa", "ra").join(one.toDF("token", "b", "nb", "sb", "rb"), "token").where("a < b and ra != rb")
+    pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return pairs.where((100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+
+
+def _long(lists: DataFrame, scratch: Scratch) -> DataFrame:
+    """(token, sid, n, rep, root): the lists of more than PIVOTS sets, those of much the same sets as one.
+
+    The lists of one cloud of texts have most of their sets in common, hence also
+    mostly the set of least hash. All lists with the same such set are one, but
+    for those to which that would add too many sets; so there are never more rows.
+    """
+    rows = scratch.write(lists.where(F.col("c") > PIVOTS).select("token", "c", "sid", "n", "rep", "root"), "long")
+    heads = rows.groupBy("token", "c").agg(F.min(F.struct(F.xxhash64("sid", F.lit(8)), "sid")).alias("head"))
+    heads = scratch.write(heads, "heads")
+    whole = rows.join(heads.select("token", "head"), "token").select("head", "sid").distinct().groupBy("head").agg(F.count("*").alias("all"))
+    alone = F.when(MERGED * F.col("c") < F.col("all"), F.col("token"))
+    names = heads.join(whole, "head").select("token", F.min("token").over(Window.partitionBy("head", alone)).alias("name"))
+    return rows.join(scratch.write(names, "names"), "token").select(F.col("name").alias("token"), "sid", "n", "rep", "root").distinct()
 
 
 def _compared_in_groups(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -209,13 +227,21 @@ def _compared_in_groups(pairs: DataFrame, sets: DataFrame, percent: int, scratch
 def _blocks(lists: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(u, v): links between classes of different roots that share a list; at least one chain of links wherever there is a link.
 
-    ``lists`` is (token, sid, n, rep, root). A list is cut by hash into blocks of
-    bounded size, and each pair of its blocks is one task's group.
+    ``lists`` is (token, sid, n, rep, root, lo), lo the list's least root. A list is
+    cut by hash into blocks of bounded size, first the sets of other roots, then
+    those of lo, and each pair of its blocks, but for two of lo, is one task's group.
     """
-    size = lists.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    least = F.col("root") == F.col("lo")
+
+    def blocks(which):
+        return F.greatest(F.ceil(F.count_if(which) / BLOCK_ROWS), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+
+    size = lists.groupBy("token").agg(blocks(F.lit(True)).alias("all"), blocks(~least).alias("k"), blocks(least).alias("m"))
+    size = size.select("token", F.when(F.col("all") > 1, F.col("k")).otherwise(1).alias("k"), F.when(F.col("all") > 1, F.col("m")).otherwise(0).alias("m"))
     rows = lists.join(scratch.write(size, "blocks"), "token")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart, at = least & (F.col("m") > 0), F.xxhash64("sid", F.lit(3))
+    rows = rows.withColumn("own", F.when(apart, F.col("k") + F.pmod(at, F.col("m"))).otherwise(F.pmod(at, F.col("k"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(apart, F.col("k")).otherwise(F.col("k") + F.col("m")) - 1)))
     rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "rep", "root")
     rows = scratch.write(rows, "pairs of blocks").join(sets.select("sid", "shingles"), "sid")
 
@@ -297,18 +323,18 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     sets = _sets(likely(docs, left.select("rep")), width).select(F.monotonically_increasing_id().alias("sid"), F.col("doc_id").alias("rep"), "shingles")
     sets = scratch.write(sets, "sets")
     lists = _lists(sets, left, percent, scratch)
-    pairs, lists = _met(lists, percent, scratch)
-    both = _compared_in_groups(scratch.write(pairs, "pairs"), sets, percent, scratch)
+    both = _compared_in_groups(scratch.write(_short(lists, percent), "pairs"), sets, percent, scratch)
     name = sets.select("sid", "rep")
     more = both.join(name.toDF("u", "ru"), "u").join(name.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     more = scratch.write(more, "links")
+    lists = _long(lists, scratch)
     if more.limit(1).count():
         links = links.unionByName(more)
         roots = scratch.write(components(links, scratch), "roots")
         lists = lists.drop("root").join(roots, lists.rep == roots.node, "left").select("token", "sid", "n", "rep", F.coalesce("root", "rep").alias("root"))
     lists = scratch.write(lists, "rest")
-    several = scratch.write(lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "several")
-    more = scratch.write(_blocks(scratch.write(lists.join(several, "token", "left_semi"), "lists"), sets, percent, scratch), "links")
+    several = scratch.write(lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token", "lo"), "several")
+    more = scratch.write(_blocks(scratch.write(lists.join(several, "token"), "lists"), sets, percent, scratch), "links")
     if more.limit(1).count():
         links = links.unionByName(more)
         roots = scratch.write(components(links, scratch), "roots")

@@ -120,6 +120,48 @@ def test_lists_in_blocks(spark, monkeypatch):
     check(spark, rows)
 
 
+def _cloud(n, seed):
+    """n texts of one frame with a few words changed: most pairs are nearly, but not, linked."""
+    import random
+
+    rnd = random.Random(seed)
+    rows = []
+    for d in range(n):
+        w = [f"w{i}" for i in range(120)]
+        for at in rnd.sample(range(120), rnd.randint(8, 11)):
+            w[at] = f"r{d}_{at}"
+        rows.append((d, " ".join(w)))
+    return rows
+
+
+def test_cloud_makes_no_table_of_pairs(spark, monkeypatch):
+    made = {}
+    write = Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name in ("left", "compared", "pairs of blocks"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    check(spark, _cloud(240, 7))
+    assert made["left"] > 150
+    assert made["compared"] + made["pairs of blocks"] <= 16 * made["left"]
+
+
+def test_long_lists_in_blocks(spark, monkeypatch):
+    """Long lists taken together, with a large component, small ones and single texts, in small blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(neardup, "PIVOTS", 5)
+    rows = _cloud(70, 8)
+    rows += [(100 + d, " ".join(t.split()[:117])) for d, t in rows[::2]] + [(200 + d, t + f" x{d} y{d} z{d} u{d}") for d, t in rows[:20]]
+    rows += [(300 + d, " ".join([f"w{i}" for i in range(120 - d % 7)] + [f"v{d}_{i}" for i in range(d % 5)])) for d in range(40)]
+    for merged in (0, 4):
+        monkeypatch.setattr(neardup, "MERGED", merged)
+        check(spark, rows)
+
+
 def test_long_text(spark):
     words = [f"w{i}" for i in range(300_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[20_000:])), (3, " ".join(words[:40_000])), (4, "x" * 5_000_000)]
